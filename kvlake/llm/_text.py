@@ -90,9 +90,12 @@ def _blocks(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> It
 
 
 def words(
-    data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, fold: np.ndarray = SAME
+    data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, fold: np.ndarray = SAME, stem: int = 0
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end byte of every word, and for each text the index of its first word."""
+    """Hash, first byte and end byte of every word, and for each text the index of its first word.
+
+    With ``stem``, the hash is that of a word's first ``stem`` bytes.
+    """
     inner = offsets[1:-1]
     hashes, starts, ends = [], [], []
     byte = _BYTE[fold]
@@ -109,7 +112,8 @@ def words(
         up, down = (_UP, _DOWN) if b - a <= BLOCK else (_powers(_BASE, b - a + 1), _powers(_INVERSE, b - a + 1))
         sums = np.zeros(b - a + 1, dtype=np.uint64)
         np.cumsum(byte[part] * up[: b - a], out=sums[1:])
-        hashes.append(mix((sums[e] - sums[s]) * down[s]))
+        upto = np.minimum(e, s + stem) if stem else e
+        hashes.append(mix((sums[upto] - sums[s]) * down[s]))
         starts.append(s + a)
         ends.append(e + a)
     none = np.zeros(0, np.int64)

@@ -1,6 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct buckets of words, of pairs of neighbours and of pairs one word apart.
+Features are the distinct buckets of words, of words cut to a stem (their first bytes, for inflected
+forms), of pairs of neighbours and of pairs one word apart.
 Per-coordinate learning rates and L1 leave few weights that are not zero; those alone are sent to
 the tasks that score.
 """
@@ -18,17 +19,20 @@ from pyspark.sql import functions as F
 from . import _text
 
 
+STEM = 5
+
+
 @dataclass(frozen=True)
 class Settings:
-    """``sample``: labelled rows of each class that may be learned from, at most (those first by a hash of their id)."""
+    """``sample``: labelled rows that may be learned from, at most (those first by a hash of their id)."""
 
     bits: int = 20
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 2.0
+    l1: float = 4.0
     l2: float = 1.0
-    epochs: int = 3
-    sample: int = 2500
+    epochs: int = 5
+    sample: int = 20_000
     threshold: float = 0.7
 
 
@@ -37,7 +41,8 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     h, _, _, bounds = _text.words(data, offsets, _text.NOT_ALNUM, _text.FOLD)
     n = offsets.size - 1
     owner = np.repeat(np.arange(n, dtype=np.uint64), np.diff(bounds))
-    grams, owners = [h], [owner]
+    stems = _text.words(data, offsets, _text.NOT_ALNUM, _text.FOLD, STEM)[0]
+    grams, owners = [h, _text.mix(stems + np.uint64(STEM))], [owner, owner]
     for gap, salt in ((1, 0x2545F4914F6CDD1D), (2, 0x9E6C63D0876A9A4B)):
         same = owner[gap:] == owner[:-gap]
         grams.append(_text.mix(h[:-gap] * np.uint64(salt) + h[gap:])[same])
@@ -85,13 +90,12 @@ def _bucket_rows(bits: int):
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, np.ndarray, float]:
     """Learn from labelled rows; ``labels`` (doc_id, toxic) holds those that may be seen.
 
-    At most ``s.sample`` rows of each class, so both the broadcast ids and the rows that reach the
+    At most ``s.sample`` rows are taken, so both the broadcast ids and the rows that reach the
     driver are bounded. Null ids or labels are passed over. Without any row the model is a bias of 0.
     """
     at = F.xxhash64("doc_id")
     seen = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label"), at.alias("at")).distinct()
-    picked = [seen.where(F.col("label") == y).orderBy("at", "doc_id").limit(s.sample) for y in (0, 1)]
-    few = picked[0].unionByName(picked[1]).withColumnRenamed("doc_id", "l_id")
+    few = seen.orderBy("at", "doc_id", "label").limit(s.sample).withColumnRenamed("doc_id", "l_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("l_id")).select("at", "label", "text")
     got = rows.mapInArrow(_bucket_rows(s.bits), "at long, label int, buckets array<int>").toArrow()
     got = got.sort_by([("at", "ascending"), ("label", "ascending")])
