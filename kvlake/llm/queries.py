@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, toxicity, url_filter
+from . import exact_dedup, minhash, repetition, toxicity, url_filter
 from ._spark import table
 
 
@@ -15,6 +15,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(table(spark, sf_dir, "documents"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -30,6 +38,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_minhash": op7_minhash,
     "op8_url_filter": op8_url_filter,
     "op10_toxicity": op10_toxicity,
 }
@@ -40,6 +50,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                coalesce(doc_id = max(doc_id) OVER w, false) AS kept, sha256(text) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY text)""",
+    "op7_minhash": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d),
+        x AS (SELECT doc_id, unnest(g) AS g FROM s),
+        n AS (SELECT doc_id, len(g) AS n FROM s),
+        f AS (SELECT g, count(*) AS df FROM x GROUP BY g),
+        r AS (SELECT x.doc_id, x.g, n.n, row_number() OVER (PARTITION BY x.doc_id ORDER BY f.df, x.g) AS k FROM x JOIN f USING (g) JOIN n USING (doc_id)),
+        p AS (SELECT * FROM r WHERE k <= n - ceil(0.8 * n) + 1),
+        c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+        j AS (SELECT c.a, c.b, count(*) AS k FROM c JOIN x u ON u.doc_id = c.a JOIN x v ON v.doc_id = c.b AND v.g = u.g GROUP BY ALL),
+        l AS (SELECT a, b FROM j JOIN n na ON na.doc_id = j.a JOIN n nb ON nb.doc_id = j.b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        t(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b)
+        SELECT n.doc_id, n.n AS n_shingles, min(t.b) AS component_id, n.doc_id = min(t.b) AS kept FROM n JOIN t ON t.a = n.doc_id GROUP BY n.doc_id, n.n""",
     "op8_url_filter": r"""
         WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
                ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
