@@ -7,14 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, repetition, toxicity, url_filter
+from . import exact_dedup, minhash, mixing, repetition, sentence_pieces, toxicity, url_filter
 from ._spark import table
 
 
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentence_pieces.read_model()
+    rows = sentence_pieces.decode(sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(table(spark, sf_dir, "documents"))
 
@@ -37,7 +47,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentence_pieces": op2_sentence_pieces,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_mixing": op4_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash": op7_minhash,
     "op8_url_filter": op8_url_filter,
@@ -50,6 +62,27 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                coalesce(doc_id = max(doc_id) OVER w, false) AS kept, sha256(text) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY text)""",
+    "op4_mixing": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens FROM documents),
+        e AS (SELECT *, CASE WHEN source = 'src0' THEN 'crawl' WHEN source IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6') THEN 'books'
+                             WHEN source IN ('src7', 'src8', 'src9', 'src10', 'src11', 'src12') THEN 'forum' ELSE 'other' END AS domain FROM d),
+        leaf AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens, 2 * sum(n_tokens)::HUGEINT AS cap, CASE source WHEN 'src1' THEN 3 ELSE 1 END AS weight FROM e GROUP BY ALL),
+        total AS (SELECT sum(tokens)::HUGEINT * 60 // 100 AS budget FROM leaf),
+        d1 AS (SELECT domain, sum(cap)::HUGEINT AS cap, CASE domain WHEN 'crawl' THEN 3 WHEN 'books' THEN 4 WHEN 'forum' THEN 2 ELSE 1 END AS weight FROM leaf GROUP BY domain),
+        d2 AS (SELECT *, cap * (sum(weight) OVER (ORDER BY cap::DOUBLE / weight, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT
+                         <= (budget - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT) * weight AS f FROM d1, total),
+        d3 AS (SELECT domain, CASE WHEN f THEN cap ELSE (budget - coalesce(sum(cap) FILTER (f) OVER (), 0)::HUGEINT) * weight // (sum(weight) FILTER (NOT f) OVER ())::HUGEINT END AS budget FROM d2),
+        l1 AS (SELECT domain, lang, sum(cap)::HUGEINT AS cap, CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 ELSE 1 END AS weight FROM leaf GROUP BY domain, lang),
+        l2 AS (SELECT *, cap * (sum(weight) OVER (PARTITION BY domain ORDER BY cap::DOUBLE / weight, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT
+                         <= (budget - coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap::DOUBLE / weight, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT) * weight AS f FROM l1 JOIN d3 USING (domain)),
+        l3 AS (SELECT domain, lang, CASE WHEN f THEN cap ELSE (budget - coalesce(sum(cap) FILTER (f) OVER (PARTITION BY domain), 0)::HUGEINT) * weight // (sum(weight) FILTER (NOT f) OVER (PARTITION BY domain))::HUGEINT END AS budget FROM l2),
+        s2 AS (SELECT *, cap * (sum(weight) OVER (PARTITION BY domain, lang ORDER BY cap::DOUBLE / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT
+                         <= (budget - coalesce(sum(cap) OVER (PARTITION BY domain, lang ORDER BY cap::DOUBLE / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT) * weight AS f FROM leaf JOIN l3 USING (domain, lang)),
+        s3 AS (SELECT domain, lang, source, tokens, CASE WHEN f THEN cap ELSE (budget - coalesce(sum(cap) FILTER (f) OVER (PARTITION BY domain, lang), 0)::HUGEINT) * weight // (sum(weight) FILTER (NOT f) OVER (PARTITION BY domain, lang))::HUGEINT END AS budget FROM s2),
+        b AS (SELECT *, (budget // tokens)::BIGINT AS whole, budget % tokens AS rest FROM s3 WHERE budget > 0 AND tokens > 0),
+        r AS (SELECT e.*, b.whole, b.rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17|' || whole || '|' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, n_tokens ROWS UNBOUNDED PRECEDING) AS run FROM e JOIN b USING (domain, lang, source))
+        SELECT doc_id, domain, lang, source, n_tokens, unnest(range(0, whole)) AS epoch FROM r
+        UNION ALL SELECT doc_id, domain, lang, source, n_tokens, whole AS epoch FROM r WHERE rest > 0 AND run <= rest""",
     "op7_minhash": r"""
         WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d),
