@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, repetition, sentence_pieces, toxicity, url_filter
+from . import exact_dedup, html_text, minhash, mixing, repetition, sentence_pieces, toxicity, url_filter
 from ._spark import table
 
 
@@ -25,6 +25,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentence_pieces": op2_sentence_pieces,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op5_html_text": op5_html_text,
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash": op7_minhash,
     "op8_url_filter": op8_url_filter,
