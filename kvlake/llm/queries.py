@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, minhash, mixing, repetition, sentence_pieces, toxicity, url_filter
+from . import exact_dedup, html_text, line_dedup, minhash, mixing, repetition, sentence_pieces, toxicity, url_filter
 from ._spark import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dropped_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentence_pieces.read_model()
     rows = sentence_pieces.decode(sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
@@ -51,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_sentence_pieces": op2_sentence_pieces,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
