@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, line_dedup, minhash, mixing, repetition, sentence_pieces, toxicity, url_filter
+from . import chat_format, exact_dedup, html_text, line_dedup, minhash, mixing, repetition, sentence_pieces, toxicity, url_filter
 from ._spark import table
 
 
@@ -45,6 +45,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.repair_turns(table(spark, sf_dir, "conversations"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_minhash": op7_minhash,
     "op8_url_filter": op8_url_filter,
+    "op9_chat_format": op9_chat_format,
     "op10_toxicity": op10_toxicity,
 }
 
