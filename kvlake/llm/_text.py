@@ -91,13 +91,13 @@ def _blocks(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> It
 
 def words(
     data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, fold: np.ndarray = SAME, stem: int = 0
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+) -> tuple[np.ndarray, ...]:
     """Hash, first byte and end byte of every word, and for each text the index of its first word.
 
-    With ``stem``, the hash is that of a word's first ``stem`` bytes.
+    With ``stem``, a fifth array holds the hash of each word's first ``stem`` bytes.
     """
     inner = offsets[1:-1]
-    hashes, starts, ends = [], [], []
+    hashes, starts, ends, stems = [], [], [], []
     byte = _BYTE[fold]
     for a, b in _blocks(data, offsets, separators):
         part = data[a:b]
@@ -112,15 +112,17 @@ def words(
         up, down = (_UP, _DOWN) if b - a <= BLOCK else (_powers(_BASE, b - a + 1), _powers(_INVERSE, b - a + 1))
         sums = np.zeros(b - a + 1, dtype=np.uint64)
         np.cumsum(byte[part] * up[: b - a], out=sums[1:])
-        upto = np.minimum(e, s + stem) if stem else e
-        hashes.append(mix((sums[upto] - sums[s]) * down[s]))
+        hashes.append(mix((sums[e] - sums[s]) * down[s]))
+        if stem:
+            stems.append(mix((sums[np.minimum(e, s + stem)] - sums[s]) * down[s] + np.uint64(stem)))
         starts.append(s + a)
         ends.append(e + a)
     none = np.zeros(0, np.int64)
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     s = np.concatenate(starts) if starts else none
     e = np.concatenate(ends) if ends else none
-    return h, s, e, np.searchsorted(s, offsets)
+    found = h, s, e, np.searchsorted(s, offsets)
+    return (*found, np.concatenate(stems) if stems else np.zeros(0, np.uint64)) if stem else found
 
 
 def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

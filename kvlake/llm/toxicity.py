@@ -36,20 +36,23 @@ class Settings:
     threshold: float = 0.7
 
 
-def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of each text, one text after another, and where each text's begin."""
-    h, _, _, bounds = _text.words(data, offsets, _text.NOT_ALNUM, _text.FOLD)
-    n = offsets.size - 1
-    owner = np.repeat(np.arange(n, dtype=np.uint64), np.diff(bounds))
-    stems = _text.words(data, offsets, _text.NOT_ALNUM, _text.FOLD, STEM)[0]
-    grams, owners = [h, _text.mix(stems + np.uint64(STEM))], [owner, owner]
+def grams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of every feature of a slice, and the text it is in; a text's buckets may repeat."""
+    h, _, _, bounds, stems = _text.words(data, offsets, _text.NOT_ALNUM, _text.FOLD, STEM)
+    owner = np.repeat(np.arange(offsets.size - 1), np.diff(bounds))
+    found, owners = [h, stems], [owner, owner]
     for gap, salt in ((1, 0x2545F4914F6CDD1D), (2, 0x9E6C63D0876A9A4B)):
         same = owner[gap:] == owner[:-gap]
-        grams.append(_text.mix(h[:-gap] * np.uint64(salt) + h[gap:])[same])
+        found.append(_text.mix(h[:-gap] * np.uint64(salt) + h[gap:])[same])
         owners.append(owner[gap:][same])
-    key = np.concatenate(owners) << np.uint64(bits) | np.concatenate(grams) >> np.uint64(64 - bits)
-    key = np.unique(key)
-    return (key & np.uint64((1 << bits) - 1)).astype(np.int32), np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(bits))
+    return (np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate(owners)
+
+
+def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of each text, one text after another, and where each text's begin."""
+    bucket, owner = grams(data, offsets, bits)
+    key = np.unique(owner << bits | bucket)
+    return (key & ((1 << bits) - 1)).astype(np.int32), np.searchsorted(key, np.arange(offsets.size) << bits)
 
 
 def learn(rows: list[tuple[np.ndarray, int]], s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
@@ -114,10 +117,11 @@ def _score_rows(model: tuple[np.ndarray, np.ndarray, float], bits: int):
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for a, b, data, offsets in _text.slices(batch.column(batch.num_columns - 1)):
-                found, bounds = features(data, offsets, bits)
-                total = np.zeros(found.size + 1)
-                np.cumsum(table[found], out=total[1:])
-                out[a:b] = 1 / (1 + np.exp(-np.clip(total[bounds[1:]] - total[bounds[:-1]] + bias, -35, 35)))
+                bucket, owner = grams(data, offsets, bits)
+                heavy = table[bucket] != 0  # a few in a text: only these need be made distinct
+                key = np.unique(owner[heavy] << bits | bucket[heavy])
+                total = np.bincount(key >> bits, table[key & ((1 << bits) - 1)], b - a)
+                out[a:b] = 1 / (1 + np.exp(-np.clip(total + bias, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*batch.schema.names[:-1], "score"])
 
     return run
