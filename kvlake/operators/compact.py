@@ -34,7 +34,7 @@ def must_stall(files: DataFrame) -> DataFrame:
 
 def rotation_pick(files: DataFrame, level: int, after: bytes | None) -> DataFrame:
     """The level's next file after the last one compacted, or its first again."""
-    passed = F.lit(0) if after is None else F.when(F.col("smallest") > F.lit(after), 0).otherwise(1)
+    passed = F.lit(False) if after is None else F.col("smallest") <= F.lit(after)
     return files.where(F.col("level") == level).orderBy(passed, "smallest").limit(1)
 
 
