@@ -16,8 +16,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = sentence_pieces.read_model()
-    rows = sentence_pieces.decode(sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    rows = sentence_pieces.code(table(spark, sf_dir, "documents").select("doc_id", "text"), sentence_pieces.read_model())
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

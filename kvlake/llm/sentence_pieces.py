@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +35,7 @@ class Model:
     def __init__(self, body: bytes):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
+        self.body = body
         m = proto.ModelProto()
         m.ParseFromString(body)
         norm, spec = m.normalizer_spec, m.trainer_spec
@@ -55,11 +56,18 @@ class Model:
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         self.longest = max(map(len, self.ids), default=1)
         self._spine: dict[str, tuple] = {}
-        self._apart: dict[tuple[str, str], bool] = {}
-        self._steps: dict[tuple[str, str], str] = {}
         self._prefixes = {p[:i] for p in self.ids for i in range(len(p) + 1)}
-        self._ends: dict[str, tuple[str, ...]] = {}
         self._bytes = [self._surface(i) for i in range(len(self.pieces))]
+        # Of each place in a word all that matters is its tail, the longest end that some piece begins with. By number of the tail:
+        self._tails = [""]
+        self._tail_number = {"": 0}
+        self._onward: list[dict[str, int]] = [{}]  # next character to next tail
+        self._ending: list[list[tuple[int, int]]] = [[]]  # (length, number) of the pieces that end here, the longest first
+        self._names = list(self.pieces)  # pieces by number, then characters that are none
+        self._char_number: dict[str, int] = {}
+        self._worth = list(self.scores)
+        self._coded = [np.int32(i).tobytes() for i in range(len(self.pieces))]
+        self._apart: dict[int, bool] = {}
 
     # -- merge order of BPE models
 
@@ -107,82 +115,79 @@ class Model:
 
     # -- search
 
-    def _suffixes(self, tail: str) -> tuple[str, ...]:
-        """Pieces that end ``tail``, the longest first; a single character always counts."""
-        got = self._ends.get(tail)
-        if got is None:
-            got = tuple(tail[i:] for i in range(len(tail)) if i == len(tail) - 1 or (tail[i:] in self.ids and self._reachable(tail[i:])))
-            self._ends[tail] = got
+    def _number(self, piece: str) -> int:
+        """Number of a piece, or of a character that is none: it stands for its bytes, or is unknown."""
+        i = self.ids.get(piece, self._char_number.get(piece))
+        if i is None:
+            i = self._char_number[piece] = len(self._names)
+            self._names.append(piece)
+            self._worth.append(self.floor)
+            self._coded.append(np.array([self.byte[b] for b in piece.encode("utf-8")], np.int32).tobytes() if self.byte else np.int32(self.unknown).tobytes())
+        return i
+
+    def _go(self, state: int, char: str) -> int:
+        """Number of the tail after one more character."""
+        tail = self._tails[state] + char
+        while tail not in self._prefixes and len(tail) > 1:
+            tail = tail[1:]
+        to = self._tail_number.get(tail)
+        if to is None:
+            to = self._tail_number[tail] = len(self._tails)
+            self._tails.append(tail)
+            self._onward.append({})
+            ends = [tail[i:] for i in range(len(tail)) if i == len(tail) - 1 or (tail[i:] in self.ids and self._reachable(tail[i:]))]
+            self._ending.append([(len(x), self._number(x)) for x in ends])
+        self._onward[state][char] = to
+        return to
+
+    def _try(self, left: int, piece: int) -> bool:
+        got = self._apart[left << 32 | piece] = self._stay_apart(self._names[left], self._names[piece])
         return got
 
-    def _step(self, tail: str, char: str) -> str:
-        """The longest end of ``tail + char`` that some piece begins with."""
-        got = self._steps.get((tail, char))
-        if got is None:
-            got = tail + char
-            while got not in self._prefixes and len(got) > 1:
-                got = got[1:]
-            self._steps[tail, char] = got
-        return got
-
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """Ids of each distinct word."""
-        out: dict[str, list[int]] = {}
-        before = ""
-        tails, last, score = [""], [""], [0.0]
-        for kept in (self._apart, self._steps, self._ends):
-            if len(kept) > CACHE:
-                kept.clear()
-        apart, steps, ends = self._apart, self._steps, self._ends
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of each distinct word, as 32-bit numbers."""
+        out: dict[str, bytes] = {}
+        if len(self._apart) > CACHE:
+            self._apart.clear()
+        if len(self._tails) + len(self._names) > len(self._prefixes) + len(self.pieces) + CACHE:  # strange characters without end
+            self.__init__(self.body)
+        onward, ending, apart, coded, worth = self._onward, self._ending, self._apart, self._coded, self._worth
+        bpe, first_char = self.bpe, len(self.pieces)
+        before, states, last, score, paths = "", [0], [-1], [0.0], [b""]
         for word in sorted(words):
-            keep = len(commonprefix((before, word)))
-            del tails[keep + 1 :], last[keep + 1 :], score[keep + 1 :]
-            for at in range(keep, len(word)):
-                char = word[at]
-                tail = steps.get((tails[at], char)) or self._step(tails[at], char)
-                tails.append(tail)
-                found = ends.get(tail) or self._suffixes(tail)
-                if self.bpe:
-                    for piece in found:
-                        left = last[at + 1 - len(piece)]
-                        if not left:
+            keep = 0
+            for x, y in zip(before, word, strict=False):
+                if x != y:
+                    break
+                keep += 1
+            del states[keep + 1 :], last[keep + 1 :], score[keep + 1 :], paths[keep + 1 :]
+            state = states[keep]
+            at = keep
+            for char in word[keep:]:
+                at += 1
+                state = onward[state].get(char) or self._go(state, char)
+                states.append(state)
+                if bpe:
+                    for size, piece in ending[state]:
+                        left = last[at - size]
+                        if left < 0:
                             break
-                        ok = apart.get((left, piece))
-                        if ok is None:
-                            ok = apart[left, piece] = self._stay_apart(left, piece)
-                        if ok:
+                        ok = apart.get(left << 32 | piece)
+                        if ok or (ok is None and self._try(left, piece)):
                             break
-                    last.append(piece)
-                    score.append(0.0)
                 else:
-                    best, chosen = -float("inf"), ""
-                    for piece in found:
-                        i = self.ids.get(piece)
-                        total = score[at + 1 - len(piece)] + (self.floor if i is None else self.scores[i])
+                    best = -1e300
+                    for n, i in ending[state]:
+                        total = score[at - n] + worth[i]
                         if total > best:
-                            best, chosen = total, piece
-                    last.append(chosen)
+                            best, size, piece = total, n, i
                     score.append(best)
+                last.append(piece)
+                path = paths[at - size]
+                # Unknown characters in a row are one unknown id.
+                paths.append(path if piece >= first_char <= last[at - size] and not self.byte else path + coded[piece])
             before = word
-            path, at = [], len(word)
-            while at:
-                path.append(last[at])
-                at -= len(last[at])
-            out[word] = self._numbers(reversed(path))
-        return out
-
-    def _numbers(self, path: Iterable[str]) -> list[int]:
-        out: list[int] = []
-        after_unknown = False
-        for piece in path:
-            i = self.ids.get(piece)
-            if i is not None:
-                out.append(i)
-            elif self.byte:
-                out.extend(self.byte[b] for b in piece.encode("utf-8"))
-            elif not after_unknown:
-                out.append(self.unknown)
-            after_unknown = i is None and not self.byte
+            out[word] = paths[-1]
         return out
 
     def marked_words(self, text: str) -> list[str]:
@@ -192,7 +197,7 @@ class Model:
     def encode(self, text: str) -> list[int]:
         words = self.marked_words(text)
         found = self.encode_words(set(words))
-        return [i for w in words for i in found[w]]
+        return np.frombuffer(b"".join(found[w] for w in words), np.int32).tolist()
 
     def _surface(self, i: int) -> bytes:
         kind = self.types[i]
@@ -208,56 +213,64 @@ class Model:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-_models: dict[bytes, tuple[Model, dict]] = {}
+_models: dict[bytes, Model] = {}
 
 
-def _worker_model(body: bytes) -> tuple[Model, dict]:
-    """The model and the words encoded so far in this worker process."""
+def _worker_model(body: bytes) -> Model:
+    """The model as this worker process has parsed it."""
     if body not in _models:
         _models.clear()
-        _models[body] = Model(body), {}
+        _models[body] = Model(body)
     return _models[body]
 
 
-def _text_parts(texts: list[str | None], limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _text_parts(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``limit`` bytes of text."""
     first, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
         if i > first and size + n > limit:
             yield first, i
             first, size = i, 0
         size += n
-    if texts:
+    if len(texts):
         yield first, len(texts)
 
 
-def _encode_rows(body: bytes, text_at: int):
+def _encode_rows(body: bytes, text_at: int, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = _worker_model(body)
+        model, known = _worker_model(body), {}
         for batch in batches:
-            texts = batch.column(text_at).to_pylist()
+            texts = batch.column(text_at)
             for a, b in _text_parts(texts):
-                marked = [model.marked_words(t or "") for t in texts[a:b]]
+                part = texts.slice(a, b - a)
+                marked = [model.marked_words(t or "") for t in part.to_pylist()]
                 new = {w for words in marked for w in words if w not in known}
                 if len(known) + len(new) > CACHE:
                     known.clear()
                     new = {w for words in marked for w in words}
-                known.update((w, np.array(ids, np.int32).tobytes()) for w, ids in model.encode_words(new).items())
+                known.update(model.encode_words(new))
                 lists = [b"".join(map(known.__getitem__, words)) for words in marked]
                 bounds = np.zeros(b - a + 1, dtype=np.int32)
                 np.cumsum([len(x) // 4 for x in lists], out=bounds[1:])
-                ids = pa.ListArray.from_arrays(bounds, np.frombuffer(b"".join(lists), np.int32))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), ids], names=[*batch.schema.names, "ids"])
+                more = {"ids": pa.ListArray.from_arrays(bounds, np.frombuffer(b"".join(lists), np.int32))}
+                if decoded:
+                    more["decoded"] = pa.array([model.decode(np.frombuffer(x, np.int32).tolist()) for x in lists], pa.string())
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *more.values()], names=[*batch.schema.names, *more])
 
     return run
 
 
 def _decode_rows(body: bytes, ids_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, _ = _worker_model(body)
+        model = _worker_model(body)
         for batch in batches:
-            texts = [model.decode(x) if x is not None else None for x in batch.column(ids_at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            lists = batch.column(ids_at)
+            bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for first in range(0, batch.num_rows, 512):
+                end = min(first + 512, batch.num_rows)
+                texts = [model.decode(flat[a:b].tolist()) for a, b in zip(bounds[first:end], bounds[first + 1 : end + 1], strict=True)]
+                texts = pa.array(texts, pa.string(), mask=lists.slice(first, end - first).is_null().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, end - first) for c in batch.columns), texts], names=[*batch.schema.names, "decoded"])
 
     return run
 
@@ -272,15 +285,23 @@ def read_model(path: str | None = None) -> bytes:
         return f.read()
 
 
+def _with(df: DataFrame, more: str) -> str:
+    taken = set(df.columns) & {x.split()[0] for x in more.split(", ")}
+    if taken:
+        raise ValueError(f"there is a column {taken.pop()}")
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", {more}"
+
+
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
     """``docs`` and ``ids``, the pieces of the whole text; a null text has none, like an empty one."""
-    if "ids" in docs.columns:
-        raise ValueError("docs has a column ids")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_encode_rows(model, docs.columns.index("text")), f"{kinds}, ids array<int>")
+    return docs.mapInArrow(_encode_rows(model, docs.columns.index("text"), False), _with(docs, "ids array<int>"))
+
+
+def code(docs: DataFrame, model: bytes) -> DataFrame:
+    """``docs`` with ``ids`` and ``decoded``, the text that the ids stand for: both in one pass."""
+    return docs.mapInArrow(_encode_rows(model, docs.columns.index("text"), True), _with(docs, "ids array<int>, decoded string"))
 
 
 def decode(rows: DataFrame, model: bytes) -> DataFrame:
     """``rows`` and ``decoded``, the text of ``ids``; null ids give null."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_decode_rows(model, rows.columns.index("ids")), f"{kinds}, decoded string")
+    return rows.mapInArrow(_decode_rows(model, rows.columns.index("ids")), _with(rows, "decoded string"))
