@@ -43,8 +43,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether decoding gives the text back."""
-    model = sentence_pieces.read_model()
-    rows = sentence_pieces.decode(sentence_pieces.encode(docs.select("doc_id", "lang", "source", "text"), model), model)
+    rows = sentence_pieces.code(docs.select("doc_id", "lang", "source", "text"), sentence_pieces.read_model())
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
