@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
@@ -27,7 +27,6 @@ from ._spark import cut
 #: Lines of fewer words have equal copies only: with one edit too much of them changes.
 MIN_WORDS = 5
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_LINES = 1 << 31
 
 
 class _Sums:
@@ -61,52 +60,72 @@ def _line_bounds(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, boun
     return owner[first], number[first], first, end, np.diff(before_text) + 1
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to a row for each line with a word, and one of number -1 for each text, whose n is its count of lines."""
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of each slice of (doc_id, text): the batch, its rows, sums, and the lines with a word."""
     for batch in batches:
         for a, b, data, offsets in _text.slices(batch.column(1)):
             h, starts, _, bounds = _text.words(data, offsets)
-            owner, number, first, end, lines = _line_bounds(data, offsets, starts, bounds)
-            one, two = _Sums(h, _BASES[0]), _Sums(h, _BASES[1])
-            n = end - first
-            # A line of n words meets lines of n words in halves of n // 2, and of n - 1 words in halves of (n - 1) // 2.
-            same, less = first + n // 2, first + np.maximum(n - 1, 0) // 2
-            long = np.maximum(n - 1, 0) - np.maximum(n - 1, 0) // 2
-            keys = np.stack([one.run(first, same) ^ np.uint64(1), one.run(same, end) ^ np.uint64(2), one.run(first, less) ^ np.uint64(1), one.run(end - long, end) ^ np.uint64(2)], axis=1)
-            classes = np.stack([n, n, n - 1, n - 1], axis=1).astype(np.uint64)
-            keys = _text.mix(keys + classes * np.uint64(0x2545F4914F6CDD1D))
-            texts = b - a
-            at = pa.array(np.concatenate((owner, np.arange(texts))) + a)
-            none = np.zeros(texts, np.int64)
-            ends = np.concatenate((np.arange(first.size + 1) * 4, np.full(texts, first.size * 4)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(at),
-                    pa.array(np.concatenate((number, none - 1)).astype(np.int32)),
-                    pa.array(np.concatenate((n, lines)).astype(np.int32)),
-                    pa.array(np.concatenate((one.run(first, end).view(np.int64), none))),
-                    pa.array(np.concatenate((two.run(first, end).view(np.int64), none))),
-                    pa.ListArray.from_arrays(ends.astype(np.int32), keys.ravel().view(np.int64)),
-                ],
-                names=["doc_id", "line_no", "n", "fp1", "fp2", "halves"],
-            )
+            yield batch, a, b, h, _line_bounds(data, offsets, starts, bounds)
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line with a word (``again``: its text has had it before), and one of number -1 for each text, whose n is its count of lines."""
+    for batch, a, b, h, (owner, number, first, end, lines) in _described(batches):
+        texts = b - a
+        fp1, fp2 = (_Sums(h, base).run(first, end).view(np.int64) for base in _BASES)
+        again = np.ones(first.size, dtype=bool)
+        again[np.unique(_text.mix(fp1.view(np.uint64) + owner.astype(np.uint64)) ^ fp2.view(np.uint64), return_index=True)[1]] = False
+        none = np.zeros(texts, np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).take(pa.array(np.concatenate((owner, np.arange(texts))) + a)),
+                pa.array(np.concatenate((number, none - 1)).astype(np.int32)),
+                pa.array(np.concatenate((end - first, lines)).astype(np.int32)),
+                pa.array(np.concatenate((again, none > 0))),
+                pa.array(np.concatenate((fp1, none))),
+                pa.array(np.concatenate((fp2, none))),
+            ],
+            names=["doc_id", "line_no", "n", "again", "fp1", "fp2"],
+        )
+
+
+def _halves(min_words: int):
+    """mapInArrow body: (half, fp1) of the lines with ``min_words`` words or more.
+
+    A line of n words is compared with lines of n words by halves of n // 2, and with lines of n - 1
+    words by halves of (n - 1) // 2; for an odd n these are the same.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, h, (_, _, first, end, _) in _described(batches):
+            sums = _Sums(h, _BASES[0])
+            long = end - first >= min_words
+            first, end = first[long], end[long]
+            fp = sums.run(first, end)
+            pairs = []
+            for size, some in (((end - first) // 2, np.ones(first.size, bool)), ((end - first - 1) // 2, (end - first) % 2 == 0)):
+                f, e, n = first[some], end[some], size[some]
+                for side, key in ((1, sums.run(f, f + n)), (2, sums.run(e - n, e))):
+                    pairs.append(np.stack((_text.mix(key ^ np.uint64(side)), fp[some])))
+            both = np.concatenate(pairs, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["half", "fp1"])
+
+    return run
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pos, line) to its neighbourhood: the whole line (gap -1) and the line without each word."""
+    """(ord, line) to its neighbourhood: the whole line (gap -1) and the line without each word."""
     for batch in batches:
         for a, b, data, offsets in _text.slices(batch.column(1)):
             h, _, _, bounds = _text.words(data, offsets)
             first, end = bounds[:-1], bounds[1:]
             sums = _Sums(h, _BASES[0])
-            size = end - first
-            owner = np.repeat(np.arange(b - a), size)
+            owner = np.repeat(np.arange(b - a), end - first)
             gap = np.arange(h.size)
-            whole = sums.run(first, end)
-            cut_out = sums.without(first[owner], end[owner], gap)
+            variant = np.concatenate((sums.run(first, end), sums.without(first[owner], end[owner], gap)))
             at = pa.array(np.concatenate((np.arange(b - a), owner)) + a)
             gaps = np.concatenate((np.full(b - a, -1), gap - first[owner]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(gaps.astype(np.int32)), pa.array(np.concatenate((whole, cut_out)).view(np.int64))], names=["pos", "gap", "variant"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(gaps.astype(np.int32)), pa.array(variant.view(np.int64))], names=["ord", "gap", "variant"])
 
 
 def within_one_edit(x: list[str], y: list[str]) -> bool:
@@ -123,15 +142,37 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         split = lambda column: (line.strip(" \t\n\x0b\x0c\r").translate(_ONE_SPACE).split(" ") for line in column.to_pylist())
         near = [within_one_edit([w for w in x if w], [w for w in y if w]) for x, y in zip(split(batch.column(2)), split(batch.column(3)), strict=True)]
-        yield batch.select(["pos", "earlier"]).filter(pa.array(near, pa.bool_()))
+        yield batch.select(["ord", "earlier"]).filter(pa.array(near, pa.bool_()))
 
 
 _ONE_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
-def _pos(doc_id: Column, line_no: Column) -> Column:
-    """Order of lines as one number that hash aggregation can hold."""
-    return (doc_id.cast("decimal(20,0)") * F.lit(_LINES).cast("decimal(12,0)") + line_no.cast("decimal(12,0)")).cast("decimal(38,0)")
+def _near_lines(named: DataFrame, firsts: DataFrame, min_words: int) -> DataFrame:
+    """(doc, line, near_doc, near_line) of first lines and the earliest line within one edit of each."""
+    halves = named.mapInArrow(_halves(min_words), "half long, fp1 long")
+    shared = halves.groupBy("half").agg(F.min("fp1").alias("a"), F.max("fp1").alias("b")).where("a <> b").select("half")
+    few = halves.join(shared, "half", "left_semi").select("fp1").distinct()
+    wanted = firsts.where(F.col("n") >= min_words).join(few, "fp1", "left_semi").groupBy("doc").agg(F.collect_set("line").alias("wanted"))
+    held = named.join(wanted, F.col("doc_id") == F.col("doc"))
+    texts = held.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "words"), "wanted").where(F.array_contains("wanted", F.col("line"))).drop("wanted")
+    # Numbers in the order of (doc, line), so that the earliest of a bucket is a minimum of numbers.
+    texts = cut(texts.repartitionByRange("doc", "line").sortWithinPartitions("doc", "line").withColumn("ord", F.monotonically_increasing_id()))
+
+    made = texts.select("ord", "words").mapInArrow(_variants, "ord long, gap int, variant long")
+    met = made.groupBy("variant").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a <> b").select("variant")
+    entries = cut(made.join(met, "variant", "left_semi").select("variant", "gap", "ord"))
+    alike = entries.where("gap >= 0").groupBy("variant", "gap").agg(F.min("ord").alias("earlier"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    replaced = entries.join(alike, ["variant", "gap"]).where("ord > earlier").select("ord", "earlier")
+    sides = entries.groupBy("variant").agg(F.min(F.when(F.col("gap") < 0, F.col("ord"))).alias("whole"), F.min(F.when(F.col("gap") >= 0, F.col("ord"))).alias("short"))
+    other = F.when(F.col("gap") < 0, F.col("short")).otherwise(F.col("whole"))
+    shifted = entries.join(sides.where("whole is not null and short is not null"), "variant").select("ord", other.alias("earlier")).where("ord > earlier")
+    pairs = replaced.unionByName(shifted).distinct()
+    lines = texts.select("ord", "words")
+    both = pairs.join(lines, "ord").join(lines.select(F.col("ord").alias("earlier"), F.col("words").alias("other")), "earlier")
+    near = both.select("ord", "earlier", "words", "other").mapInArrow(_verify, "ord long, earlier long").groupBy("ord").agg(F.min("earlier").alias("earlier"))
+    places = texts.select("ord", "doc", "line")
+    return near.join(places, "ord").join(places.select(F.col("ord").alias("earlier"), F.col("doc").alias("near_doc"), F.col("line").alias("near_line")), "earlier").select("doc", "line", "near_doc", "near_line")
 
 
 def line_verdicts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -139,52 +180,31 @@ def line_verdicts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     and a row with line_no -1 and n the count of lines for every text.
 
     Lines are ordered by doc_id and line number. A null or empty text has one line without a word,
-    and such lines stay. Texts without a doc_id take no part and have no rows; rows that repeat a
-    doc_id count as one text. Other columns of ``docs`` are not read.
+    and such lines stay. Texts without a doc_id take no part and have no rows; a doc_id names one
+    text, and rows that repeat it and its text count as one. Other columns of ``docs`` are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = cut(named.mapInArrow(_describe, f"doc_id {kind}, line_no int, n int, fp1 long, fp2 long, halves array<long>"))
-    lines = rows.where("line_no >= 0").withColumn("pos", _pos(F.col("doc_id"), F.col("line_no")))
-    halves = [F.max(F.element_at("halves", i + 1)).alias(f"k{i}") for i in range(4)]
-    distinct = cut(lines.groupBy("fp1", "fp2").agg(F.min("pos").alias("pos"), F.max("n").alias("n"), *halves))
-
-    long = distinct.where(F.col("n") >= min_words)
-    keys = long.select("pos", F.explode(F.array_distinct(F.array(*[f"k{i}" for i in range(4)]))).alias("half"))
-    shared = keys.groupBy("half").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("half")
-    few = keys.join(shared, "half", "left_semi").select("pos").distinct()
-    placed = few.select(F.expr(f"cast(pos div {_LINES} as bigint)").alias("of"), F.expr(f"cast(pos % {_LINES} as int)").alias("line_no"))
-    wanted = placed.groupBy("of").agg(F.collect_set("line_no").alias("wanted"))
-    held = named.join(wanted, F.col("doc_id") == F.col("of"))
-    texts = held.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"), "wanted").where(F.array_contains("wanted", F.col("line_no")))
-    texts = cut(texts.select(_pos(F.col("doc_id"), F.col("line_no")).alias("pos"), "line"))
-
-    entries = cut(texts.mapInArrow(_variants, "pos decimal(38,0), gap int, variant long"))
-    least = entries.groupBy("variant", "gap").agg(F.min("pos").alias("least"), F.count(F.lit(1)).alias("m"))
-    alike = least.where("gap >= 0 and m > 1").select("variant", "gap", "least")
-    replaced = entries.join(alike, ["variant", "gap"]).where("pos > least").select("pos", F.col("least").alias("earlier"))
-    sides = entries.groupBy("variant").agg(F.min(F.when(F.col("gap") < 0, F.col("pos"))).alias("whole"), F.min(F.when(F.col("gap") >= 0, F.col("pos"))).alias("cut"))
-    sides = sides.where("whole is not null and cut is not null")
-    other = F.when(F.col("gap") < 0, F.col("cut")).otherwise(F.col("whole"))
-    shifted = entries.join(sides, "variant").select("pos", other.alias("earlier")).where("pos > earlier")
-    pairs = replaced.unionByName(shifted).distinct()
-    both = pairs.join(texts, "pos").select("pos", "earlier", "line").join(texts.select(F.col("pos").alias("earlier"), F.col("line").alias("line_b")), "earlier")
-    near = both.select("pos", "earlier", "line", "line_b").mapInArrow(_verify, "pos decimal(38,0), earlier decimal(38,0)").groupBy("pos").agg(F.min("earlier").alias("earlier"))
-
-    kept = distinct.select("fp1", "fp2", F.col("pos").alias("first")).join(near.withColumnRenamed("pos", "first"), "first", "left")
-    told = lines.drop("halves").join(kept, ["fp1", "fp2"])
-    keep = F.coalesce("earlier", "first")
-    told = told.select("doc_id", "line_no", "n", (F.col("pos") != keep).alias("dropped"), F.expr(f"cast(coalesce(earlier, first) div {_LINES} as bigint)").alias("keep_doc_id"), F.expr(f"cast(coalesce(earlier, first) % {_LINES} as int)").alias("keep_line_no"))
-    heads = rows.where("line_no < 0").select("doc_id", "line_no", "n", F.lit(False).alias("dropped"), F.lit(None).cast("long").alias("keep_doc_id"), F.lit(None).cast("int").alias("keep_line_no"))
+    rows = cut(named.mapInArrow(_lines, f"doc_id {kind}, line_no int, n int, again boolean, fp1 long, fp2 long"))
+    lines = rows.where("line_no >= 0")
+    firsts = lines.where("not again").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc"), F.min_by("line_no", "doc_id").alias("line"), F.max("n").alias("n"))
+    near = _near_lines(named, firsts, min_words)
+    kept = firsts.drop("n").join(near, ["doc", "line"], "left")
+    told = lines.drop("again").join(kept, ["fp1", "fp2"])
+    keep_doc, keep_line = F.coalesce("near_doc", "doc"), F.coalesce("near_line", "line")
+    told = told.select("doc_id", "line_no", "n", ((F.col("doc_id") != keep_doc) | (F.col("line_no") != keep_line)).alias("dropped"), keep_doc.alias("keep_doc_id"), keep_line.alias("keep_line_no"))
+    heads = rows.where("line_no < 0").select("doc_id", "line_no", "n", F.lit(False).alias("dropped"), F.lit(None).cast(kind).alias("keep_doc_id"), F.lit(None).cast("int").alias("keep_line_no"))
     return told.unionByName(heads)
 
 
 def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_kept, dropped (sorted line numbers), kept_from (doc_id of each dropped line's earlier line) of each text."""
     told = line_verdicts(docs, min_words)
-    gone = F.sort_array(F.collect_set(F.when(F.col("dropped"), F.struct("line_no", "keep_doc_id"))))
-    by_text = told.groupBy("doc_id").agg(F.max(F.when(F.col("line_no") < 0, F.col("n"))).cast("long").alias("n_lines"), gone.alias("gone"))
-    return by_text.select("doc_id", "n_lines", (F.col("n_lines") - F.size("gone")).alias("n_kept"), F.col("gone.line_no").alias("dropped"), F.col("gone.keep_doc_id").alias("kept_from"))
+    gone = told.where("dropped").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("line_no", "keep_doc_id"))).alias("gone"))
+    heads = told.where("line_no < 0").groupBy("doc_id").agg(F.max("n").cast("long").alias("n_lines"))
+    met = heads.join(gone, "doc_id", "left")
+    lines, sources = (F.coalesce(F.col(f"gone.{c}"), F.array().cast(kind)) for c, kind in (("line_no", "array<int>"), ("keep_doc_id", f"array<{docs.schema['doc_id'].dataType.simpleString()}>")))
+    return met.select("doc_id", "n_lines", (F.col("n_lines") - F.size(lines)).alias("n_kept"), lines.alias("dropped"), sources.alias("kept_from"))
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
