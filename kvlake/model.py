@@ -11,8 +11,6 @@ LEVELS = 7
 RESERVED_PREFIX = b"\x00!raft/"
 #: Largest encoded batch, in bytes.
 MAX_BATCH_BYTES = 64 << 20
-#: Fixed sizes of a batch's encoding: header, and kind and lengths of an op at most.
-BATCH_HEADER_BYTES = 12
 
 _OP = T.StructType([T.StructField("kind", T.ByteType()), T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType())])
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvlake.model import BATCH_HEADER_BYTES, DELETE, MAX_BATCH_BYTES, PUT, RESERVED_PREFIX
+from kvlake.model import DELETE, MAX_BATCH_BYTES, PUT, RESERVED_PREFIX
 
 #: Log positions summed up together before the global running sum.
 RANGE = 1 << 16
@@ -35,9 +35,19 @@ def delete(seq: Column, key: Column) -> list[Column]:
     return [seq.alias("seq"), key.alias("key"), F.lit(DELETE).cast("tinyint").alias("kind"), F.lit(None).cast("binary").alias("value")]
 
 
+def _number_bytes(n: Column) -> Column:
+    """Bytes of a base-128 number below 2**35."""
+    return F.lit(1) + sum((n >= 1 << 7 * i).cast("int") for i in range(1, 5))
+
+
 def encoded_bytes(ops: Column) -> Column:
-    """Bytes of a batch at most: header, and for each op a kind, two lengths, key and value."""
-    return F.aggregate(ops, F.lit(BATCH_HEADER_BYTES).cast("long"), lambda n, op: n + 11 + F.octet_length(op["key"]) + F.coalesce(F.octet_length(op["value"]), F.lit(0)))
+    """Bytes of an encoded batch: sequence number and count, and for each op its kind, sized key and, if it is a put, sized value."""
+
+    def size(op: Column) -> Column:
+        key, value = F.octet_length(op["key"]), F.coalesce(F.octet_length(op["value"]), F.lit(0))
+        return 1 + _number_bytes(key) + key + F.when(op["kind"] == PUT, _number_bytes(value) + value).otherwise(0)
+
+    return F.aggregate(ops, (8 + _number_bytes(F.size(ops))).cast("long"), lambda n, op: n + size(op))
 
 
 def batch_faults(batches: DataFrame) -> DataFrame:

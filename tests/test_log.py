@@ -8,6 +8,7 @@ import pytest
 
 from kvlake.model import BATCHES, COMMANDS
 from kvlake.operators import log
+from kvlake.sources import raw
 
 
 @pytest.fixture
@@ -38,6 +39,13 @@ def test_faulty_batches(spark, monkeypatch):
     assert got == {0: None, 1: "too_large", 2: "reserved_key", 3: "bad_kind", 4: "bad_value", 5: None}
 
 
+def test_sizes_are_those_of_the_encoding(spark):
+    ops = [(1, b"k" * 130, b"v" * 20_000), (0, b"", None), (1, b"a", None)]
+    df = spark.createDataFrame([(0, ops), (1, []), (2, ops * 60)], BATCHES)
+    got = {r[0]: r[1] for r in df.select("batch_id", log.encoded_bytes(df["ops"])).collect()}
+    assert got == {i: len(raw.encode_batch(1, x)) for i, x in ((0, ops), (1, []), (2, ops * 60))}
+
+
 def replay(rows):
     """Applied flags, session table and engine sequence numbers, entry by entry."""
     top, applied, used, at = {}, {}, {}, 1
