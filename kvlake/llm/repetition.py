@@ -31,7 +31,7 @@ class Limits:
     max_window_percent: int = 20
     min_repeat: int = 10
     max_covered: float = 0.2
-    max_longest: int = 200
+    max_longest: int = 100
 
 
 def suffix_array(word: np.ndarray, owner: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
