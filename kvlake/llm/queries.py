@@ -71,6 +71,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+        WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL),
+        l AS (SELECT doc_id, unnest(range(len(ls)))::INT AS line_no, list_filter(regexp_split_to_array(unnest(ls), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
+        k AS (SELECT doc_id, line_no, w, array_to_string(w, ' ') AS k FROM l WHERE len(w) > 0),
+        f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, line_no) = 1),
+        n AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS ord FROM f WHERE len(w) >= 5),
+        v AS (SELECT ord, 0 AS gap, k AS v FROM n UNION ALL SELECT ord, g AS gap, array_to_string(list_concat(w[1:g - 1], w[g + 1:]), ' ') AS v FROM (SELECT ord, w, unnest(range(1, len(w) + 1)) AS g FROM n)),
+        m AS (SELECT v, gap, min(ord) AS ord FROM v GROUP BY ALL),
+        s AS (SELECT v, min(ord) FILTER (gap = 0) AS whole, min(ord) FILTER (gap > 0) AS short FROM m GROUP BY v),
+        e AS (SELECT v.ord, m.ord AS earlier FROM v JOIN m ON v.v = m.v AND v.gap = m.gap AND v.gap > 0 AND m.ord < v.ord
+              UNION ALL SELECT v.ord, CASE WHEN v.gap = 0 THEN s.short ELSE s.whole END FROM v JOIN s ON v.v = s.v WHERE CASE WHEN v.gap = 0 THEN s.short ELSE s.whole END < v.ord),
+        near AS (SELECT a.doc_id, a.line_no, b.doc_id AS near_doc, b.line_no AS near_line FROM (SELECT ord, min(earlier) AS earlier FROM e GROUP BY ord) x JOIN n a ON a.ord = x.ord JOIN n b ON b.ord = x.earlier),
+        told AS (SELECT k.doc_id, k.line_no, coalesce(near_doc, f.doc_id) AS keep_doc, coalesce(near_line, f.line_no) AS keep_line FROM k JOIN f ON f.k = k.k LEFT JOIN near ON near.doc_id = f.doc_id AND near.line_no = f.line_no),
+        gone AS (SELECT doc_id, list(line_no ORDER BY line_no) AS dropped, list(keep_doc ORDER BY line_no) AS kept_from FROM told WHERE keep_doc <> doc_id OR keep_line <> line_no GROUP BY doc_id)
+        SELECT t.doc_id, len(ls)::BIGINT AS n_lines, len(ls) - coalesce(len(dropped), 0) AS n_kept, coalesce(dropped, []) AS dropped, coalesce(kept_from, []) AS kept_from FROM t LEFT JOIN gone USING (doc_id)""",
     "op3_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
