@@ -375,6 +375,63 @@ def decode_shard_map(data: bytes) -> tuple[int, list[tuple[int, bool]]]:
     return epoch, [(g, bool(marks >> s & 1)) for s, g in enumerate(groups)]
 
 
+# -- a replica's state file
+
+STATE_HARD, STATE_ENTRIES, STATE_TRUNCATE, STATE_COMPACT = 1, 2, 3, 4
+
+
+@dataclass
+class ReplicaState:
+    """What a state file leaves: term, vote, commit, the snapshot's place, and entries (type, index, term, data) after it."""
+
+    term: int = 0
+    vote: int = 0
+    commit: int = 0
+    snapshot: tuple[int, int] = (0, 0)
+    entries: dict[int, tuple[int, int, int, bytes]] = field(default_factory=dict)
+
+    def cut_from(self, index: int) -> None:
+        if index <= self.snapshot[0]:
+            raise Corrupt(f"index {index} is in the snapshot")
+        for i in [i for i in self.entries if i >= index]:
+            del self.entries[i]
+
+
+def replay_state(payloads: list[bytes]) -> ReplicaState:
+    """Fold the records of a state file. An entry written again takes the place of itself and all after it; a gap is corruption."""
+    state = ReplicaState()
+    for payload in payloads:
+        c = Cursor(payload)
+        tag = c.take(1)[0]
+        if tag == STATE_HARD:
+            state.term, state.vote, state.commit = c.u64(), c.u64(), c.u64()
+        elif tag == STATE_COMPACT:
+            if state.entries or state.snapshot[0]:
+                raise Corrupt("snapshot mark after entries")
+            state.snapshot = c.u64(), c.u64()
+        elif tag == STATE_TRUNCATE:
+            state.cut_from(c.u64())
+        elif tag == STATE_ENTRIES:
+            for _ in range(int.from_bytes(c.take(4), "little")):
+                kind, index, term = c.take(1)[0], c.u64(), c.u64()
+                data = c.take(int.from_bytes(c.take(4), "little"))
+                state.cut_from(index)
+                if index != state.snapshot[0] + len(state.entries) + 1:
+                    raise Corrupt(f"gap before index {index}")
+                state.entries[index] = (kind, index, term, data)
+        else:
+            raise Corrupt(f"record {tag}")
+        if c:
+            raise Corrupt("bytes after a record")
+    return state
+
+
+def encode_entries(entries: list[tuple[int, int, int, bytes]]) -> bytes:
+    """A state record of entries (type, index, term, data)."""
+    body = b"".join(struct.pack("<BQQI", kind, index, term, len(data)) + data for kind, index, term, data in entries)
+    return bytes([STATE_ENTRIES]) + struct.pack("<I", len(entries)) + body
+
+
 # -- Spark
 
 _OPS = "seq bigint, key binary, kind tinyint, value binary"
@@ -484,6 +541,35 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 
 
+def read_replicas(spark: SparkSession, path: str) -> DataFrame:
+    """The surviving entries of replicas' state files: file, log_index, term, entry_type, data. A torn end is dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = list(replay_state(unframe(content)[0]).entries.values())
+                columns = ([name] * len(found), [e[1] for e in found], [e[2] for e in found], [e[0] for e in found], [e[3] for e in found])
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int8(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "log_index", "term", "entry_type", "data"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, log_index bigint, term bigint, entry_type tinyint, data binary")
+
+
+def commands_of(entries: DataFrame) -> DataFrame:
+    """Committed entries (log_index, term, entry_type, data) as commands; entries of type 0 without data have no ops, like changes of members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        op = pa.list_(pa.struct([("kind", pa.int8()), ("key", pa.binary()), ("value", pa.binary())]))
+        for batch in batches:
+            rows = [decode_command(d) if k == 0 and d else (None, None, None) for k, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            ops = [None if o is None else [{"kind": k, "key": key, "value": v} for k, key, v in o] for _, _, o in rows]
+            made = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(ops, op)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["log_index", "term", "entry_type", "client_id", "client_seq", "ops"])
+
+    schema = "log_index bigint, term bigint, entry_type tinyint, client_id bigint, client_seq bigint, ops array<struct<kind:tinyint,key:binary,value:binary>>"
+    return entries.select("log_index", "term", F.col("entry_type").cast("tinyint"), "data").mapInArrow(run, schema)
+
+
 def table_files(outputs: DataFrame) -> DataFrame:
     """Table files of compaction outputs (part, file_no and ops): part, file_no, content. Each output is a few MB by construction."""
 

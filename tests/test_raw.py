@@ -133,3 +133,29 @@ def test_manifest(spark, tmp_path):
     for bad in (bytes([9]), bytes([4, 7]), bytes([5, 0])):
         with pytest.raises(raw.Corrupt):
             raw.decode_edit(bad)
+
+
+def test_replica_state(spark, tmp_path):
+    e = lambda i, t, data=b"x": (0, i, t, data)
+    hard = bytes([1]) + bytes(8) + (3).to_bytes(8, "little") + (2).to_bytes(8, "little")
+    records = [raw.encode_entries([e(1, 1), e(2, 1), e(3, 1)]), hard, raw.encode_entries([e(2, 2, b"y")]), raw.encode_entries([e(3, 2), e(4, 2)]), bytes([3]) + (4).to_bytes(8, "little")]
+    state = raw.replay_state(records)
+    assert (state.vote, state.commit, sorted(state.entries.values())) == (3, 2, [e(1, 1), e(2, 2, b"y"), e(3, 2)])
+    snapshot = bytes([4]) + (7).to_bytes(8, "little") + (1).to_bytes(8, "little")
+    assert list(raw.replay_state([snapshot, raw.encode_entries([e(8, 1)])]).entries) == [8]
+    for bad in ([raw.encode_entries([e(2, 1)])], [snapshot, raw.encode_entries([e(7, 1)])], [records[0], snapshot], [bytes([9])], [hard[:-1]], [hard + b"x"], [b""]):
+        with pytest.raises(raw.Corrupt):
+            raw.replay_state(bad)
+    ops = [(1, b"k", b"v"), (0, b"d", None)]
+    log = [(0, 1, 1, raw.encode_command(7, 1, ops)), (0, 2, 1, b""), (1, 3, 1, b"member"), (0, 4, 1, raw.encode_command(7, 1, ops))]
+    for i in range(3):
+        (tmp_path / f"node{i}").write_bytes(raw.frame(raw.encode_entries(log)) + b"torn")
+    got = raw.read_replicas(spark, str(tmp_path))
+    from kvlake.operators import audit
+    from kvlake.operators import log as logs
+
+    assert got.count() == 12 and audit.log_conflicts(got).count() == 0
+    one = got.where("file like '%node0'")
+    marked = logs.mark_applied(raw.commands_of(one))
+    assert {r.log_index: (r.client_id, r.ops and len(r.ops), r.applied) for r in marked.collect()} == {1: (7, 2, True), 2: (None, None, False), 3: (None, None, False), 4: (7, 2, False)}
+    assert [(r.seq, bytes(r.key)) for r in logs.applied_ops(marked).orderBy("seq").collect()] == [(1, b"k"), (2, b"d")]
