@@ -89,20 +89,25 @@ def classify_writes(writes: DataFrame, shards: DataFrame) -> DataFrame:
     return routed.withColumn("verdict", verdict.otherwise(F.lit("ok")))
 
 
-def copy_slot(placed: DataFrame, at: int, source: int, target: int, after: bytes | None = None, seq: int | None = None) -> DataFrame:
-    """Puts that bring a slot's live pairs after a key from one group to another."""
+def copy_slots(placed: DataFrame, slots: list[int], source: int, target: int, after: bytes | None = None, seq: int | None = None) -> DataFrame:
+    """Puts that bring the live pairs of slots after a key from one group to another, with their slot: one pass over the source."""
     held = placed.where(F.col("group_id") == source)
     if after is not None:
         held = held.where(F.col("key") > F.lit(after))
     if seq is not None:
         held = held.where(F.col("seq") <= seq)
-    live = latest_live(held.where(slot(F.col("key")) == at))
+    live = latest_live(held.withColumn("slot", slot(F.col("key"))).where(F.col("slot").isin(slots)))
     return live.withColumn("group_id", F.lit(target).cast("long"))
 
 
-def copy_cursor(copied: DataFrame) -> DataFrame:
-    """Where to go on: the last key and how many were copied."""
-    return copied.agg(F.max("key").alias("last_key"), F.count(F.lit(1)).alias("copied"))
+def copy_slot(placed: DataFrame, at: int, source: int, target: int, after: bytes | None = None, seq: int | None = None) -> DataFrame:
+    """Puts that bring a slot's live pairs after a key from one group to another."""
+    return copy_slots(placed, [at], source, target, after, seq).drop("slot")
+
+
+def copy_cursor(copied: DataFrame, *by: str) -> DataFrame:
+    """Where to go on: the last key and how many were copied, of all or of each slot."""
+    return copied.groupBy(*by).agg(F.max("key").alias("last_key"), F.count(F.lit(1)).alias("copied"))
 
 
 def clear_slot(placed: DataFrame, at: int, group_id: int, next_seq: int) -> DataFrame:

@@ -226,11 +226,8 @@ def group_scan(spark, sf_dir):
     SELECT s.slot, max(key) AS last_key, count(*) AS copied FROM n JOIN slots s USING (key) WHERE kind = 1 GROUP BY s.slot""")
 def copy_slot_resume(spark, sf_dir):
     placed = views.placed_ops(spark, sf_dir, GROUPS)
-    parts = [shard.copy_cursor(shard.copy_slot(placed, at, 10, 20, b"user:00000004")).withColumn("slot", F.lit(at)).where("copied > 0") for at in range(4, 256, 16)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _text(out.select("slot", "last_key", "copied"), "last_key")
+    copied = shard.copy_slots(placed, list(range(4, 256, 16)), 10, 20, b"user:00000004")
+    return _text(shard.copy_cursor(copied, "slot"), "last_key")
 
 
 _ONE_SLOT = 131
