@@ -125,8 +125,6 @@ def words(
     return (*found, np.concatenate(stems) if stems else np.zeros(0, np.uint64)) if stem else found
 
 
-def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sum of ``values`` (one for each byte or word) within each text."""
-    total = np.zeros(values.size + 1, dtype=np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[bounds[1:]] - total[bounds[:-1]]
+def per_text(marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of ``marks`` (one for each byte or word) are set within each text."""
+    return np.array([np.count_nonzero(marks[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], dtype=np.int64)
