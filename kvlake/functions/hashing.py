@@ -49,19 +49,25 @@ def literal_slot(key: bytes) -> int:
 
 
 def fnv1a64(number: Column) -> Column:
-    """FNV-1a 64 over the eight little-endian bytes of a BIGINT, as DECIMAL(20,0): unsigned, so products don't overflow."""
-    wide, byte = "decimal(38,0)", F.lit(256).cast("decimal(38,0)")
-    modulus = F.lit("18446744073709551616").cast(wide)
-    prime = F.lit(FNV_PRIME).cast("decimal(18,0)")
-
-    def step(h: Column, i: Column) -> Column:
-        b = F.expr("0").cast("bigint") + F.call_function("shiftrightunsigned", number, (i * 8).cast("int")).bitwiseAND(F.lit(255).cast("bigint"))
-        low = (h % byte).cast("bigint")
-        mixed = (h - low.cast("decimal(20,0)") + low.bitwiseXOR(b).cast("decimal(20,0)")).cast("decimal(20,0)")
-        return ((mixed * prime).cast(wide) % modulus).cast(wide)
-
-    start = F.lit(str(FNV_OFFSET)).cast(wide)
-    return F.aggregate(F.sequence(F.lit(0), F.lit(7)), start, step).cast("decimal(20,0)")
+    """FNV-1a 64 over the eight little-endian bytes of a BIGINT, as an unsigned DECIMAL(20,0).
+
+    The hash is held in a BIGINT and multiplied in 32-bit halves, so no product overflows: the prime
+    is 2**40 + 435.
+    """
+    long = lambda x: F.lit(x).cast("bigint")
+    mask, factor = long(0xFFFFFFFF), long(FNV_PRIME - (1 << 40))
+
+    def step(h: Column, shift: Column) -> Column:
+        mixed = h.bitwiseXOR(F.call_function("shiftrightunsigned", number, shift).bitwiseAND(long(255)))
+        low = mixed.bitwiseAND(mask)
+        product = low * factor
+        high = F.shiftrightunsigned(mixed, 32) * factor + F.shiftrightunsigned(product, 32) + F.shiftleft(low, 8)
+        return F.shiftleft(high.bitwiseAND(mask), 32).bitwiseOR(product.bitwiseAND(mask))
+
+    start = long(FNV_OFFSET - (1 << 64))
+    signed = F.aggregate(F.array(*[F.lit(8 * i) for i in range(8)]), start, step)
+    wide = signed.cast("decimal(20,0)")
+    return F.when(signed < 0, (wide + F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(20,0)")).otherwise(wide)
 
 
 def user_key(number: Column) -> Column:
