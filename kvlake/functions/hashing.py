@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kvlake.model import SLOTS
 
+# The reflected Castagnoli polynomial, and offset and prime of FNV-1a 64.
 _CASTAGNOLI = 0x82F63B78
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUANTILES: Mapping[str, float] = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999, "p100": 1.0}
-#: Upper bounds of request-duration buckets, in seconds.
+#: Upper bounds of request-duration buckets, in seconds.
 DURATION_BOUNDS = tuple(1e-5 * 4**i for i in range(10))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Fixed values of the data model.
 DELETE, PUT = 0, 1
 SLOTS = 256
 LEVELS = 7

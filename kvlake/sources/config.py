@@ -44,6 +44,8 @@ def _known(found: Mapping, kind: type, where: str = "") -> None:
 
 @dataclass(frozen=True)
 class ServerConfig:
+    """Settings of a server; the defaults are fixed values."""
+
     listen: str = "127.0.0.1:7654"
     metrics_listen: str = "127.0.0.1:7655"
     data_dir: str = "data"

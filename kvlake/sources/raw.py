@@ -22,6 +22,7 @@ from kvlake.model import DELETE, LEVELS, PUT, SLOTS
 # Fixed values of the formats.
 TABLE_MAGIC, TABLE_VERSION, FOOTER_BYTES = 0xBA5A17557AB1E000, 1, 48
 BLOCK_BYTES, RESTART_EVERY, BITS_PER_KEY = 4096, 16, 10
+BLOOM_SEED, BLOOM_FACTOR, BLOOM_MOST_PROBES = 0xBC9F1D34, 0xC6A4A793, 30
 MAX_SEQ = (1 << 56) - 1
 SEGMENT_NAME = r"(\d{6,})\.wal$"
 TAG_LOG, TAG_NEXT_FILE, TAG_LAST_SEQ, TAG_ADD, TAG_DELETE = 1, 2, 3, 4, 5
@@ -177,8 +178,8 @@ def split_key(data: bytes) -> tuple[bytes, int, int]:
 
 
 def bloom_hash(key: bytes) -> int:
-    mask, m = 0xFFFFFFFF, 0xC6A4A793
-    h = (0xBC9F1D34 ^ len(key) * m) & mask
+    mask, m = 0xFFFFFFFF, BLOOM_FACTOR
+    h = (BLOOM_SEED ^ len(key) * m) & mask
     whole = len(key) & ~3
     for (word,) in struct.iter_unpack("<I", key[:whole]):
         h = (h + word) * m & mask
@@ -197,7 +198,7 @@ def _probes(h: int, n: int, bits: int) -> Iterator[int]:
 
 
 def bloom_filter(keys: list[bytes], bits_per_key: int = BITS_PER_KEY) -> bytes:
-    n = min(max(int(bits_per_key * 0.69), 1), 30)
+    n = min(max(int(bits_per_key * 0.69), 1), BLOOM_MOST_PROBES)
     body = bytearray((max(len(keys) * bits_per_key, 64) + 7) // 8)
     for key in keys:
         for bit in _probes(bloom_hash(key), n, len(body) * 8):
@@ -208,7 +209,7 @@ def bloom_filter(keys: list[bytes], bits_per_key: int = BITS_PER_KEY) -> bytes:
 def may_contain(bloom: bytes, key: bytes) -> bool:
     """False only if the key isn't there; a filter that makes no sense says maybe."""
     bits = (len(bloom) - 1) * 8 % (1 << 32)
-    if len(bloom) < 2 or not bits or bloom[-1] > 30:
+    if len(bloom) < 2 or not bits or bloom[-1] > BLOOM_MOST_PROBES:
         return True
     return all(bloom[b // 8] >> b % 8 & 1 for b in _probes(bloom_hash(key), bloom[-1], bits))
 
@@ -377,6 +378,7 @@ def decode_shard_map(data: bytes) -> tuple[int, list[tuple[int, bool]]]:
 
 # -- a replica's state file
 
+# Kinds of records.
 STATE_HARD, STATE_ENTRIES, STATE_TRUNCATE, STATE_COMPACT = 1, 2, 3, 4
 
 
