@@ -3,11 +3,12 @@
 Signatures: two permutations of the 32-bit numbers serve all coordinates. The first scatters the
 shingles; the second is read from places shifted round the circle by 0, 1, 2, ... .
 
-Candidates: a band's bucket is not expanded into pairs. Every member is paired with the bucket's
-smallest member, the pairs are verified on the full sets, and components are built from the links.
-Only members left in another component than their bucket's smallest are then tried against all texts of
-such buckets from which they are still apart, found by their rarest shingles (an exact filter), so no
-link is lost between texts that share a bucket, and a bucket that is one component costs no further pair.
+Candidates: a band's bucket is not expanded into pairs. Every member is paired with one centre, the
+member with the smallest id; the pairs are verified on the full sets, and components are built from
+the links. Members in another component than their bucket's centre are then tried against all texts of
+such buckets from which they are still apart, found by exact filters on their rarest shingles and parity
+bitmaps. So no link is lost between texts that share a bucket, and a bucket that is one component costs
+no further pair.
 """
 
 from __future__ import annotations
@@ -133,10 +134,22 @@ def _verify(s: Settings):
     return run
 
 
-def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of every document in ``pairs``."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return cut(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("node")).select("node", "text"))
+def _texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of every document in ``nodes``."""
+    return cut(docs.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("node")).select("node", "text"))
+
+
+def _centres(members: DataFrame) -> DataFrame:
+    """bucket, centre and n of buckets with two members or more: the smallest id, for originals mostly precede their copies. Any choice gives the same groups."""
+    return members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def _grouped(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` (bucket, node, centre) with the components of node and centre: group, centre_group."""
+    mine = found.select(F.col("node").alias("_node"), F.col("component").alias("_group"))
+    other = found.select(F.col("node").alias("_centre"), F.col("component").alias("_centre_group"))
+    met = members.join(mine, F.col("node") == F.col("_node"), "left").join(other, F.col("centre") == F.col("_centre"), "left")
+    return met.select("bucket", "node", "centre", F.coalesce("_group", "node").alias("group"), F.coalesce("_centre_group", "centre").alias("centre_group"))
 
 
 def _links(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -161,29 +174,41 @@ def _shingle_rows(s: Settings):
 
 
 #: Sizes within one band differ by this factor at most.
-SIZE_STEP = 1.03
+SIZE_STEP = 1.1
+#: Words of a set's parity bitmap.
+PARITY_WORDS = 8
+
+
+def _parities(s: Settings):
+    """mapInArrow body over (node, text): for each of 512 buckets, whether an odd number of the set's shingles fall into it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in _text.slices(batch.column(1)):
+                odd = np.stack([np.bincount((x & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1 for x in shingle_sets(data, offsets, s.words)])
+                words = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(PARITY_WORDS))], names=["of", *(f"p{i}" for i in range(PARITY_WORDS))])
+
+    return run
 
 
 def _size_band(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / math.log(SIZE_STEP)).cast("int")
 
 
-def _rest(members: DataFrame, found: DataFrame, stars: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """Pairs that the stars leave open: members in another component than their bucket's smallest, with all from which they are apart.
+def _rest(members: DataFrame, found: DataFrame, tried: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Pairs that the centres leave open: members in another component than their bucket's centre, with all from which they are apart.
 
     Two sets that are alike enough share one of their rarest shingles, and at such places in the
     order by rarity that enough can follow; so pairs come from an equi-join on rare shingles (and on
-    the size band), never from a bucket's members times themselves.
+    the size band), never from a bucket's members times themselves. Sets differ in no fewer shingles
+    than their parity bitmaps in bits, which the join checks too. All three filters are exact.
     """
     kind = members.schema["node"].dataType.simpleString()
-    near = found.select(F.col("node").alias("of"), F.col("component").alias("group"))
-    grouped = members.where("n > 2").join(near, F.col("node") == F.col("of"), "left").select("bucket", "node", "least", F.coalesce("group", "node").alias("group"))
-    least = near.select(F.col("of").alias("l_of"), F.col("group").alias("l_group"))
-    apart = cut(grouped.join(least, F.col("least") == F.col("l_of"), "left").where(F.col("group") != F.coalesce("l_group", "least")).select("bucket", "node"))
-    open_buckets = apart.select("bucket").distinct()
-    query = apart.select("node", F.lit(True).alias("query")).distinct()
-    pool = grouped.join(open_buckets, "bucket", "left_semi").select("node", "group").distinct().join(query, "node", "left")
-    rows = pool.join(texts, "node").select("node", "group", F.coalesce("query", F.lit(False)).alias("query"), "text")
+    grouped = cut(_grouped(members.where("n > 2"), found).select("bucket", "node", "group", (F.col("group") != F.col("centre_group")).alias("apart")))
+    open_buckets = grouped.where("apart").select("bucket").distinct()
+    pool = grouped.join(open_buckets, "bucket", "left_semi").groupBy("node", "group").agg(F.bool_or("apart").alias("query"))
+    rows = pool.join(texts, "node").select("node", "group", "query", "text")
     rows = cut(rows.mapInArrow(_shingle_rows(s), f"node {kind}, group {kind}, query boolean, size int, shingle long"))
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")) - 1
@@ -193,11 +218,16 @@ def _rest(members: DataFrame, found: DataFrame, stars: DataFrame, texts: DataFra
     largest = F.least(F.floor(F.col("left_over") * (100 + s.percent) / s.percent) - F.col("size"), F.floor(F.col("size") * 100 / s.percent))
     smallest = F.greatest(F.ceil(F.col("size") * s.percent / 100), F.lit(1))
     bands = F.when(largest >= smallest, F.sequence(_size_band(smallest), _size_band(largest)))
-    one = rare.where("query").select("shingle", F.explode(bands).alias("band"), F.col("node").alias("x"), F.col("group").alias("x_group"), F.col("size").alias("x_size"), F.col("left_over").alias("x_left"))
-    two = rare.select("shingle", _size_band(F.col("size")).alias("band"), F.col("node").alias("y"), F.col("group").alias("y_group"), F.col("size").alias("y_size"), F.col("left_over").alias("y_left"))
+    parity = texts.join(pool.select(F.col("node").alias("of")), F.col("node") == F.col("of"), "left_semi").select("node", "text")
+    parity = parity.mapInArrow(_parities(s), f"of {kind}, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)))
+    rare = rare.join(parity, F.col("node") == F.col("of"))
+    one = rare.where("query").select("shingle", F.explode(bands).alias("band"), F.col("node").alias("x"), F.col("group").alias("x_group"), F.col("size").alias("x_size"), F.col("left_over").alias("x_left"), *(F.col(f"p{i}").alias(f"x{i}") for i in range(PARITY_WORDS)))
+    two = rare.select("shingle", _size_band(F.col("size")).alias("band"), F.col("node").alias("y"), F.col("group").alias("y_group"), F.col("size").alias("y_size"), F.col("left_over").alias("y_left"), *(F.col(f"p{i}").alias(f"y{i}") for i in range(PARITY_WORDS)))
     enough = F.least("x_left", "y_left") * (100 + s.percent) >= (F.col("x_size") + F.col("y_size")) * s.percent
-    met = one.join(two, ["shingle", "band"]).where((F.col("x_group") != F.col("y_group")) & enough)
-    return cut(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
+    differ = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, PARITY_WORDS)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
+    close = differ * (100 + s.percent) <= (F.col("x_size") + F.col("y_size")) * (100 - s.percent)
+    met = one.join(two, ["shingle", "band"]).where((F.col("x_group") != F.col("y_group")) & enough & close)
+    return cut(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
 
 
 def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -213,10 +243,9 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     rows = cut(docs.select("doc_id", "text").mapInArrow(_describe(s), f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>"))
     classes = cut(rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
     entries = classes.where("node is not null").select("node", F.explode("bands").alias("bucket"))
-    buckets = cut(entries.groupBy("bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = cut(entries.join(buckets, "bucket").select("bucket", "node", "least", "n"))
-    stars = cut(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
-    texts = _texts(stars, docs)
+    members = cut(entries.join(_centres(entries), "bucket").select("bucket", "node", "centre", "n"))
+    stars = cut(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
+    texts = _texts(members.select("node").distinct(), docs)
     links = _links(stars, texts, s)
     found = components(links)
     rest = _rest(members, found, stars, texts, s)
