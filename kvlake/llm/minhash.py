@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import cut
+from ._spark import cut, tidy
 from .components import components
 
 
@@ -157,7 +157,7 @@ def _links(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     kind = texts.schema["node"].dataType.simpleString()
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return cut(two.mapInArrow(_verify(s), f"a {kind}, b {kind}"))
+    return cut(two.mapInArrow(tidy(_verify(s)), f"a {kind}, b {kind}"))
 
 
 def _shingle_rows(s: Settings):
@@ -209,7 +209,7 @@ def _rest(members: DataFrame, found: DataFrame, tried: DataFrame, texts: DataFra
     open_buckets = grouped.where("apart").select("bucket").distinct()
     pool = grouped.join(open_buckets, "bucket", "left_semi").groupBy("node", "group").agg(F.bool_or("apart").alias("query"))
     rows = pool.join(texts, "node").select("node", "group", "query", "text")
-    rows = cut(rows.mapInArrow(_shingle_rows(s), f"node {kind}, group {kind}, query boolean, size int, shingle long"))
+    rows = cut(rows.mapInArrow(tidy(_shingle_rows(s)), f"node {kind}, group {kind}, query boolean, size int, shingle long"))
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")) - 1
     rare = rows.join(shared, "shingle").withColumn("place", place).where((F.col("size") - F.col("place")) * 100 >= F.col("size") * s.percent)
@@ -240,7 +240,7 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     isn't kept. Rows that repeat a doc_id share a node; other columns of ``docs`` are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(docs.select("doc_id", "text").mapInArrow(_describe(s), f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>"))
+    rows = cut(docs.select("doc_id", "text").mapInArrow(tidy(_describe(s)), f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>"))
     classes = cut(rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
     entries = classes.where("node is not null").select("node", F.explode("bands").alias("bucket"))
     members = cut(entries.join(_centres(entries), "bucket").select("bucket", "node", "centre", "n"))

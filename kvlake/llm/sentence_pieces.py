@@ -20,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ._spark import tidy
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Encoded words, and pairs of pieces tried, that a worker keeps; beyond that it forgets them all and goes on.
+#: Encoded words, and pairs of pieces tried, that a task keeps; beyond that it forgets them all and goes on.
 CACHE = 400_000
 
 
@@ -213,17 +214,6 @@ class Model:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-_models: dict[bytes, Model] = {}
-
-
-def _worker_model(body: bytes) -> Model:
-    """The model as this worker process has parsed it."""
-    if body not in _models:
-        _models.clear()
-        _models[body] = Model(body)
-    return _models[body]
-
-
 def _text_parts(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``limit`` bytes of text."""
     first, size = 0, 0
@@ -238,7 +228,7 @@ def _text_parts(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, in
 
 def _encode_rows(body: bytes, text_at: int, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = _worker_model(body), {}
+        model, known = Model(body), {}
         for batch in batches:
             texts = batch.column(text_at)
             for a, b in _text_parts(texts):
@@ -257,12 +247,12 @@ def _encode_rows(body: bytes, text_at: int, decoded: bool):
                     more["decoded"] = pa.array([model.decode(np.frombuffer(x, np.int32).tolist()) for x in lists], pa.string())
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *more.values()], names=[*batch.schema.names, *more])
 
-    return run
+    return tidy(run)
 
 
 def _decode_rows(body: bytes, ids_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _worker_model(body)
+        model = Model(body)
         for batch in batches:
             lists = batch.column(ids_at)
             bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
@@ -272,7 +262,7 @@ def _decode_rows(body: bytes, ids_at: int):
                 texts = pa.array(texts, pa.string(), mask=lists.slice(first, end - first).is_null().to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, end - first) for c in batch.columns), texts], names=[*batch.schema.names, "decoded"])
 
-    return run
+    return tidy(run)
 
 
 def read_model(path: str | None = None) -> bytes:

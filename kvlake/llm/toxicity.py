@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._spark import tidy
 
 
 STEM = 5
@@ -100,12 +101,14 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple
     seen = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label"), at.alias("at")).distinct()
     few = seen.orderBy("at", "doc_id", "label").limit(s.sample).withColumnRenamed("doc_id", "l_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("l_id")).select("at", "label", "text")
-    got = rows.mapInArrow(_bucket_rows(s.bits), "at long, label int, buckets array<int>").toArrow()
-    got = got.sort_by([("at", "ascending"), ("label", "ascending")])
-    lists = got.column("buckets").combine_chunks()
-    flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
-    y = got.column("label").to_numpy()
-    return learn([(flat[bounds[i] : bounds[i + 1]], int(y[i])) for i in range(len(y))], s)
+    got = rows.mapInArrow(tidy(_bucket_rows(s.bits)), "at long, label int, buckets array<int>").toArrow()
+    examples = []  # views of the batches as they came: the buckets are not copied
+    for batch in got.to_batches():
+        at, label, lists = batch.columns
+        flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
+        examples += [(k, y, flat[a:b]) for k, y, a, b in zip(at.to_pylist(), label.to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    examples.sort(key=lambda e: e[:2])
+    return learn([(buckets, y) for _, y, buckets in examples], s)
 
 
 def _score_rows(model: tuple[np.ndarray, np.ndarray, float], bits: int):
@@ -130,7 +133,7 @@ def _score_rows(model: tuple[np.ndarray, np.ndarray, float], bits: int):
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], s: Settings = Settings()) -> DataFrame:
     """doc_id and score (0 to 1) of every row of ``docs``; null and empty texts get the bias alone."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_score_rows(model, s.bits), f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_score_rows(model, s.bits)), f"doc_id {kind}, score double")
 
 
 def _flag_rows(model: tuple[np.ndarray, np.ndarray, float], s: Settings, text_at: int):
@@ -148,4 +151,4 @@ def _flag_rows(model: tuple[np.ndarray, np.ndarray, float], s: Settings, text_at
 def drop_toxic(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``docs`` without the rows that score ``s.threshold`` or more; one pass, the columns stay as they are."""
     model = train(docs, labels, s)
-    return docs.mapInArrow(_flag_rows(model, s, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(tidy(_flag_rows(model, s, docs.columns.index("text"))), docs.schema)
