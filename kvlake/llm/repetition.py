@@ -25,13 +25,16 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Limits:
-    """``min_repeat``: words from which on a repeated passage counts; ``max_covered``: their share of the words; ``max_longest``: words of the longest."""
+    """``min_repeat``: words from which on a repeated passage counts; ``max_covered``: their share of the words; ``max_longest``: words of the longest.
+
+    The last two lie well below what ``max_window_percent`` lets pass, so that each can refuse a row of its own.
+    """
 
     min_words: int = 10
     max_window_percent: int = 20
     min_repeat: int = 10
-    max_covered: float = 0.2
-    max_longest: int = 100
+    max_covered: float = 0.1
+    max_longest: int = 50
 
 
 def suffix_array(word: np.ndarray, owner: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -9,6 +9,7 @@ import numpy as np
 
 from kvlake.llm import _text
 from kvlake.llm import repetition as R
+from kvlake.llm.queries import QUERIES
 
 
 def brute(text: str | None, limits: R.Limits) -> tuple:
@@ -80,3 +81,17 @@ def test_repeated_rows_and_other_columns(spark):
     got = R.judge(df).collect()
     assert len(got) == 3 and got[0] == got[1] and not any(r.kept for r in got)
     assert R.judge(df.where("false")).collect() == []
+
+
+def test_registered_limits_refuse_what_the_base_rule_passes(spark, tmp_path):
+    new = iter(range(100_000))
+    fresh = lambda n: " ".join(f"w{next(new)}" for _ in range(n))
+    passage, long_one = fresh(20), fresh(60)
+    rows = [
+        (1, " ".join((passage, fresh(220), passage))),  # 40 of 260 words repeated: 15 %
+        (2, " ".join((long_one, fresh(1400), long_one))),  # 120 of 1520 words: 8 %, in one repeat of 60
+        (3, " ".join((passage, fresh(500), passage))),  # 40 of 540 words: 7 %
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.covered_words, r.longest_repeat, r.base_failed, r.kept) for r in QUERIES["op6_quality_rules"](spark, str(tmp_path)).collect()}
+    assert got == {1: (40, 20, False, False), 2: (120, 60, False, False), 3: (40, 20, False, True)}
