@@ -154,14 +154,15 @@ class Model:
             self.__init__(self.body)
         onward, ending, apart, coded, worth = self._onward, self._ending, self._apart, self._coded, self._worth
         bpe, first_char = self.bpe, len(self.pieces)
-        before, states, last, score, paths = "", [0], [-1], [0.0], [b""]
+        # The last piece before each place and its length; the path is traced back at the end of a word.
+        before, states, last, sizes, score = "", [0], [-1], [0], [0.0]
         for word in sorted(words):
             keep = 0
             for x, y in zip(before, word, strict=False):
                 if x != y:
                     break
                 keep += 1
-            del states[keep + 1 :], last[keep + 1 :], score[keep + 1 :], paths[keep + 1 :]
+            del states[keep + 1 :], last[keep + 1 :], sizes[keep + 1 :], score[keep + 1 :]
             state = states[keep]
             at = keep
             for char in word[keep:]:
@@ -184,11 +185,17 @@ class Model:
                             best, size, piece = total, n, i
                     score.append(best)
                 last.append(piece)
-                path = paths[at - size]
-                # Unknown characters in a row are one unknown id.
-                paths.append(path if piece >= first_char <= last[at - size] and not self.byte else path + coded[piece])
+                sizes.append(size)
             before = word
-            out[word] = paths[-1]
+            parts, at = [], len(word)
+            while at:
+                piece = last[at]
+                at -= sizes[at]
+                # Unknown characters in a row are one unknown id.
+                if not piece >= first_char <= last[at] or self.byte:
+                    parts.append(coded[piece])
+            parts.reverse()
+            out[word] = b"".join(parts)
         return out
 
     def marked_words(self, text: str) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -63,3 +64,17 @@ def test_frames(spark):
     assert S.encode(df.where("false"), BODY).collect() == []
     with pytest.raises(ValueError):
         S.encode(df.withColumnRenamed("decoded_before", "ids"), BODY)
+
+
+@pytest.mark.parametrize("body", [BODY, unigram_body()], ids=["bpe", "unigram"])
+def test_memory_grows_in_proportion_to_an_unbroken_word(body):
+    r = random.Random(4)
+    word = "".join(r.choice("abcdefghijklmnop漢✓") for _ in range(12_000))
+    model, library = S.Model(body), sentencepiece.SentencePieceProcessor(model_proto=body)
+    model.encode(word[:2000])
+    tracemalloc.start()
+    ids = model.encode(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids == library.encode(word)
+    assert peak < 20_000_000
