@@ -125,9 +125,20 @@ def exact_groups(docs: DataFrame, chunk: int = CHUNK, huge_bytes: int = 1 << 24,
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text a row with a larger doc_id repeats; the columns stay as they are.
+    """One row of ``docs`` for each text, one with the largest doc_id; the columns stay as they are.
 
-    A row without a doc_id can't be told from its copies by id, so it stays.
+    Rows are told apart by doc_id and text: a doc_id with several texts stays with each that no larger
+    id has. Of rows that repeat both, the one that is least by its other columns stays. A row without
+    a doc_id stays only if all of its copies have none, and then one of them.
     """
-    gone = exact_groups(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id"), F.col("keep_id").alias("for_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    told = exact_groups(docs).groupBy(F.col("doc_id").alias("copy_id"), F.col("text_sha256").alias("copy_sha")).agg(F.bool_or(stays).alias("stays"), F.count(F.lit(1)).alias("copies"))
+    marked = cut(told.where("not stays or copies > 1").select("copy_id", "copy_sha", "stays"))
+    rows = docs.withColumn("own_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("own_sha") == F.col("copy_sha"))
+    left = rows.join(marked, same, "left_anti").select(docs.columns)
+    again = marked.where("stays")
+    if again.isEmpty():
+        return left
+    one = rows.join(again, same, "left_semi").groupBy("doc_id", "own_sha").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return left.unionByName(one.select("row.*"))

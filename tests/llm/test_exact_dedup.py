@@ -62,3 +62,17 @@ def test_hot_group(spark):
     df = spark.range(6000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('t', id)) as text")
     got = X.exact_groups(df).groupBy("group_size", "kept").count().collect()
     assert {(r.group_size, r.kept): r["count"] for r in got} == {(2000, True): 1, (2000, False): 1999, (1, True): 4000}
+
+
+def test_one_row_of_each_text_stays(spark):
+    rows = [
+        (1, "lost", "a"), (2, "lost", "a"), (1, "unique", "a"),  # an id with two texts, of which one is lost
+        (3, "again", "b"), (3, "again", "b"), (3, "again", "a"),  # an id with one text, three times
+        (None, "again", "a"), (None, "nameless", "b"), (None, "nameless", "a"), (None, None, "c"), (4, "", "c"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = [(2, "lost", "a"), (1, "unique", "a"), (3, "again", "a"), (None, "nameless", "a"), (4, "", "c")]
+    left = X.drop_copies(df)
+    assert left.columns == df.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted(want, key=str)
+    assert X.drop_copies(df.where("false")).collect() == []
