@@ -37,8 +37,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that the budgets take."""
-    return mixing.keep_selected(docs, MIX)
+    """The rows that the budgets take, those without a doc_id too."""
+    return mixing.keep_selected(docs, MIX, unnamed=True)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

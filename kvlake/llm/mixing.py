@@ -101,23 +101,32 @@ def select(docs: DataFrame, plan: Plan = PRODUCTION) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, epoch: each row taken, once for each epoch that takes it.
 
     A null language or source counts as ''. A null or empty text has no tokens; such rows come with
-    the epochs that reach them and cost nothing. Rows that repeat a doc_id are taken one by one. An
+    the epochs that reach them and cost nothing, but a (domain, lang, source) without any token has
+    no budget and gives no rows. Rows that repeat a doc_id or have none are taken one by one. An
     empty table gives no rows. Other columns of ``docs`` are not read.
     """
+    return _taken(docs, plan)
+
+
+def _taken(docs: DataFrame, plan: Plan, tokenless: bool = False, row: Column | None = None) -> DataFrame:
+    """``select``; ``tokenless``: whether leaves without any token come with all epochs; ``row``: handed on as a column of that name, a struct with ``text``."""
+    more = [] if row is None else ["row"]
     d = docs.select(
         "doc_id",
         F.coalesce("lang", F.lit("")).alias("lang"),
         F.coalesce("source", F.lit("")).alias("source"),
         token_count(F.col("text")).alias("n_tokens"),
+        *([] if row is None else [row.alias("row")]),
     )
     d = cut(d.withColumn("domain", _looked_up(plan.domains, F.col("source"), "other")))
     leaves = d.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
-    b = budgets(leaves, plan).where("budget > 0 and tokens > 0")
-    b = cut(b.withColumn("whole", F.expr("budget div tokens")).withColumn("rest", F.expr("budget % tokens")).withColumn("buckets", F.expr(f"least(65536, n div {BUCKET_ROWS} + 1)")))
+    b = budgets(leaves, plan).where("tokens = 0 or budget > 0" if tokenless else "budget > 0 and tokens > 0")
+    b = b.withColumn("whole", F.expr(f"if(tokens = 0, {plan.max_epochs}L, budget div nullif(tokens, 0))")).withColumn("rest", F.expr("if(tokens = 0, 0L, budget % nullif(tokens, 0))"))
+    b = cut(b.withColumn("buckets", F.expr(f"least(65536, n div {BUCKET_ROWS} + 1)")))
     rows = d.join(b.drop("tokens", "n", "budget"), LEAF)
     key = F.md5(F.concat_ws("|", F.lit(str(plan.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = rows.withColumn("key", key).withColumn("bucket", F.expr("cast(conv(substr(key, 1, 4), 16, 10) as bigint) * buckets div 65536"))
-    out = ["doc_id", *LEAF, "n_tokens"]
+    out = ["doc_id", *LEAF, "n_tokens", *more]
     whole = rows.where("whole > 0").select(*out, F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("epoch"))
     last = rows.where("rest > 0")
     sums = last.groupBy(*LEAF, "bucket", "rest").agg(F.sum("n_tokens").alias("in_bucket"))
@@ -125,14 +134,24 @@ def select(docs: DataFrame, plan: Plan = PRODUCTION) -> DataFrame:
     sums = sums.withColumn("upto", upto).where("upto - in_bucket <= rest").select(*LEAF, "bucket", (F.col("upto") - F.col("in_bucket")).alias("passed"), (F.col("upto") <= F.col("rest")).alias("all"))
     met = last.join(sums, [*LEAF, "bucket"])
     inside = met.where("all").select(*out, F.col("whole").alias("epoch"))
-    run = F.sum("n_tokens").over(Window.partitionBy(*LEAF).orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum("n_tokens").over(Window.partitionBy(*LEAF).orderBy("key", "doc_id", "n_tokens", *(f"{c}.text" for c in more)).rowsBetween(Window.unboundedPreceding, 0))
     edge = met.where("not all").withColumn("run", run).where("passed + run <= rest").select(*out, F.col("whole").alias("epoch"))
     return whole.unionByName(inside).unionByName(edge)
 
 
-def keep_selected(docs: DataFrame, plan: Plan) -> DataFrame:
-    """The rows of ``docs`` that one epoch takes; the columns stay as they are. Rows without a doc_id are not taken."""
+def keep_selected(docs: DataFrame, plan: Plan, unnamed: bool = False) -> DataFrame:
+    """The rows of ``docs`` that one epoch takes; the columns stay as they are.
+
+    Rows without a doc_id have their part of the budget; they are taken one by one if ``unnamed``, else not
+    at all. Rows whose (domain, lang, source) has no token cost nothing and stay, unless a weight is 0.
+    """
     if plan.max_epochs != 1:
         raise ValueError("rows are kept or not: max_epochs must be 1")
-    taken = select(docs, plan).where("doc_id is not null").select(F.col("doc_id").alias("taken_id")).distinct()
-    return docs.join(taken, F.col("doc_id") == F.col("taken_id"), "left_semi")
+    # Rows with a doc_id are found by it; only those without one travel as a whole.
+    row = F.when(F.col("doc_id").isNull(), F.struct(*docs.columns)) if unnamed else None
+    taken = _taken(docs, plan, True, row)
+    if unnamed:
+        taken = cut(taken.select("doc_id", "row"))
+    named = taken.where("doc_id is not null").select(F.col("doc_id").alias("taken_id")).distinct()
+    kept = docs.join(named, F.col("doc_id") == F.col("taken_id"), "left_semi")
+    return kept.unionByName(taken.where("doc_id is null").select("row.*")) if unnamed else kept

@@ -97,3 +97,21 @@ def test_tables_without_rows_and_other_columns(spark, rows):
     assert {r.doc_id for r in kept.collect()} == ids
     with pytest.raises(ValueError):
         X.keep_selected(df, PLAN)
+
+
+def test_rows_without_tokens_or_ids(spark):
+    # s4 holds no token at all; the weight of xx is 0; 12 of 24 tokens go, and those without an id are half of the supply.
+    rows = [(1, None, "en", "s4"), (2, " ", "en", "s4"), (None, "", "en", "s4"), (3, "", "xx", "s4"), (None, None, None, "s5")]
+    rows += [(10 + i, "a b", "en", "s1") for i in range(6)] + [(None, f"a {i}", "en", "s3") for i in range(6)]
+    df = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], SCHEMA + ", n long").repartition(3)
+    plan = X.Plan(lang_weights={"xx": 0}, percent=50, max_epochs=1)
+    free = {0, 1, 2, 4}
+    assert {0, 1} < {r.n for r in X.keep_selected(df, plan).collect()}
+    kept = X.keep_selected(df, plan, unnamed=True)
+    assert kept.columns == df.columns
+    got = [r.n for r in kept.collect()]
+    assert len(got) == len(set(got)) == len(free) + 6 and free < set(got) and 3 not in got
+    assert sum(n >= 11 for n in got) == 3
+    # The SQL of the query gives no rows for a leaf without tokens.
+    assert {(r.doc_id, r.source) for r in X.select(df, plan).collect()} <= {(None, "s3")} | {(10 + i, "s1") for i in range(6)}
+    assert {r.n for r in X.keep_selected(df.where("source in ('s4', 's5')"), plan, unnamed=True).collect()} == free

@@ -78,3 +78,10 @@ def test_stages(spark, tmp_path):
     whole = P.run(spark, str(tmp_path)).collect()
     assert sorted(map(str, whole)) == sorted(map(str, seen["sentence_pieces"]))
     assert toxicity.Settings().threshold == 0.7
+
+
+def test_mixing_takes_rows_without_an_id(spark):
+    rows = [(None, f"a {i}", "en", "src1", 3) for i in range(10)] + [(None, None, "de", "src2", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.mixing_stage(spark, df, "").collect()
+    assert len(set(got)) == 7 and set(map(tuple, got)) < set(rows) and rows[-1] in set(map(tuple, got))
