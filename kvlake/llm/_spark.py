@@ -7,7 +7,8 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kvlake.plans.lineage import cut  # noqa: F401
 
@@ -35,3 +36,33 @@ def tidy(run: Body, forget: Callable[[], None] = lambda: None) -> Body:
                 trim(0)
 
     return body
+
+
+def one_row_each(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, one for each doc_id and text; the columns stay as they are.
+
+    ``told`` has a row for each row of ``docs``: doc_id, sha (SHA-256 of the text, a null one counts as
+    empty) and stays. Of rows that repeat both, the one that is least by its other columns stays.
+    """
+    own, copy_id, copy_sha, row = (_free(name, docs.columns) for name in ("own_sha", "copy_id", "copy_sha", "row"))
+    each = told.groupBy(F.col("doc_id").alias(copy_id), F.col("sha").alias(copy_sha)).agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("copies"))
+    marked = cut(each.where("not stays or copies > 1"))
+    rows = docs.withColumn(own, F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+
+    def same(marks: DataFrame) -> tuple[DataFrame, Column]:
+        keys = marks.select(copy_id, copy_sha)
+        return keys, F.col("doc_id").eqNullSafe(keys[copy_id]) & (F.col(own) == keys[copy_sha])
+
+    left = rows.join(*same(marked), "left_anti").select(docs.columns)
+    again = marked.where("stays")
+    if again.isEmpty():
+        return left
+    one = rows.join(*same(again), "left_semi").groupBy("doc_id", own).agg(F.min(F.struct(*docs.columns)).alias(row))
+    return left.unionByName(one.select(f"{row}.*"))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, or a longer one if a column has it (in any case of letters)."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, one_row_each
 
 CHUNK = 1 << 16
 PRIMES = (2147483647, 2147483629)
@@ -131,14 +131,5 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     id has. Of rows that repeat both, the one that is least by its other columns stays. A row without
     a doc_id stays only if all of its copies have none, and then one of them.
     """
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    told = exact_groups(docs).groupBy(F.col("doc_id").alias("copy_id"), F.col("text_sha256").alias("copy_sha")).agg(F.bool_or(stays).alias("stays"), F.count(F.lit(1)).alias("copies"))
-    marked = cut(told.where("not stays or copies > 1").select("copy_id", "copy_sha", "stays"))
-    rows = docs.withColumn("own_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("own_sha") == F.col("copy_sha"))
-    left = rows.join(marked, same, "left_anti").select(docs.columns)
-    again = marked.where("stays")
-    if again.isEmpty():
-        return left
-    one = rows.join(again, same, "left_semi").groupBy("doc_id", "own_sha").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return left.unionByName(one.select("row.*"))
+    told = exact_groups(docs).select("doc_id", F.unhex("text_sha256").alias("sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"))
+    return one_row_each(docs, told)

@@ -4,11 +4,14 @@ Signatures: two permutations of the 32-bit numbers serve all coordinates. The fi
 shingles; the second is read from places shifted round the circle by 0, 1, 2, ... .
 
 Candidates: a band's bucket is not expanded into pairs. Every member is paired with one centre, the
-member with the smallest id; the pairs are verified on the full sets, and components are built from
-the links. Members in another component than their bucket's centre are then tried against all texts of
-such buckets from which they are still apart, found by exact filters on their rarest shingles and parity
-bitmaps. So no link is lost between texts that share a bucket, and a bucket that is one component costs
-no further pair.
+first member; the pairs are verified on the full sets, and components are built from the links. In a few
+more rounds the members outside a bucket's largest component meet other members of that component, one a
+bucket, so that a large family becomes one component by pairs in proportion to its members. Whoever is
+still outside is then tried against all texts of such buckets from which it is apart, found by exact
+filters on their rarest shingles and parity bitmaps. So no link is lost between texts that share a
+bucket, and a bucket that is one component costs no further pair.
+
+Links are confirmed on the full sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import cut, tidy
+from ._spark import cut, one_row_each, tidy
 from .components import components
 
 
@@ -88,40 +91,57 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+#: Words of a set's parity bitmap.
+PARITY_WORDS = 8
+#: Pairs of one centre that a task compares, about: the centre's text travels once for so many.
+PART_PAIRS = 64
+#: Rounds in which members outside a bucket's largest component meet other members of it.
+ROUNDS = 3
+#: Sizes within one band differ by this factor at most.
+SIZE_STEP = 1.1
+
+
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """For each of 512 buckets, whether an odd number of the set's shingles fall into it."""
+    odd = np.bincount((shingles & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _describe(s: Settings):
+    """mapInArrow body over (doc_id, sha, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in _text.slices(batch.column(1)):
+            for a, b, data, offsets in _text.slices(batch.column(2)):
                 sets = shingle_sets(data, offsets, s.words)
                 full = [i for i, x in enumerate(sets) if x.size]
                 signs = np.stack([signature(sets[i], s.bands * s.rows, s.seed) for i in full]) if full else np.zeros((0, s.bands * s.rows), np.uint32)
-                bounds = np.zeros(len(sets) + 1, dtype=np.int32)
-                bounds[1:] = np.cumsum([s.bands if x.size else 0 for x in sets])
+                odd = np.stack([_parity(sets[i]) for i in full]) if full else np.zeros((0, PARITY_WORDS), np.int64)
+                some = np.array([x.size > 0 for x in sets])
+                lists = [pa.ListArray.from_arrays(np.append(0, np.cumsum(some * width)).astype(np.int32), values.ravel()) for width, values in ((s.bands, band_keys(signs, s.bands, s.rows)), (PARITY_WORDS, odd))]
                 keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if x.size else None for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array([x.size for x in sets], pa.int64()),
-                        pa.array(keys, pa.binary()),
-                        pa.ListArray.from_arrays(bounds, band_keys(signs, s.bands, s.rows).ravel()),
-                    ],
-                    names=["doc_id", "n_shingles", "set_key", "bands"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([x.size for x in sets], pa.int64()), pa.array(keys, pa.binary()), *lists],
+                    names=["doc_id", "sha", "n_shingles", "set_key", "bands", "parity"],
                 )
 
     return run
 
 
 def _verify(s: Settings):
-    """mapInArrow body over (a, b, text_a, text_b): the pairs whose sets are alike enough."""
+    """mapInArrow body over (a, b, text) in order: a centre's text (b is null), then those it is compared with; the pairs whose sets are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.zeros(0, np.uint64)
         for batch in batches:
             alike = []
-            left, right = batch.column(2), batch.column(3)
-            for a, b, data, offsets in _text.slices(left):
-                first = shingle_sets(data, offsets, s.words)
-                second = [x for _, _, d, o in _text.slices(right.slice(a, b - a)) for x in shingle_sets(d, o, s.words)]
-                for x, y in zip(first, second, strict=True):
+            centre = batch.column(1).is_null().to_pylist()
+            for a, _, data, offsets in _text.slices(batch.column(2)):
+                for i, y in enumerate(shingle_sets(data, offsets, s.words)):
+                    if centre[a + i]:
+                        x = y
+                        alike.append(False)
+                        continue
                     few, many = min(x.size, y.size), max(x.size, y.size)
                     if 100 * few < s.percent * many or not few:
                         alike.append(False)
@@ -134,30 +154,67 @@ def _verify(s: Settings):
     return run
 
 
-def _texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, text) of every document in ``nodes``."""
-    return cut(docs.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("node")).select("node", "text"))
+def _classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, sha of the text, n_shingles, set_key), and classes of rows with equal sets.
+
+    A class has a node, numbered in the order of its first row (by doc_id, nulls last), that row's doc_id
+    and sha, the set's size and parity words, and its bands.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    base = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("sha"), "text")
+    rows = cut(base.mapInArrow(tidy(_describe(s)), f"doc_id {kind}, sha binary, n_shingles long, set_key binary, bands array<long>, parity array<long>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "sha")).alias("first")
+    classes = rows.where("set_key is not null").groupBy("set_key").agg(first, F.first(F.struct("n_shingles", "bands", "parity")).alias("set"))
+    ordered = classes.repartitionByRange("first", "set_key").sortWithinPartitions("first", "set_key").withColumn("node", F.monotonically_increasing_id())
+    words = [F.col("set.parity")[i].alias(f"p{i}") for i in range(PARITY_WORDS)]
+    return rows.drop("bands", "parity"), cut(ordered.select("node", "set_key", F.col("first.doc_id").alias("first_id"), F.col("first.sha").alias("first_sha"), F.col("set.n_shingles").alias("size"), *words, F.col("set.bands").alias("bands")))
 
 
 def _centres(members: DataFrame) -> DataFrame:
-    """bucket, centre and n of buckets with two members or more: the smallest id, for originals mostly precede their copies. Any choice gives the same groups."""
-    return members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    """bucket and centre of buckets with two members or more: the first, for originals mostly precede their copies. Any choice gives the same groups."""
+    return members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+
+
+def _close(s: Settings, x: str, y: str) -> Column:
+    """Whether sizes and parity words let two sets be alike enough: sets differ in no fewer shingles than their bitmaps in bits."""
+    sizes = F.least(f"{x}size", f"{y}size") * 100 >= F.greatest(f"{x}size", f"{y}size") * s.percent
+    differ = sum((F.bit_count(F.col(f"{x}p{i}").bitwiseXOR(F.col(f"{y}p{i}"))) for i in range(1, PARITY_WORDS)), F.bit_count(F.col(f"{x}p0").bitwiseXOR(F.col(f"{y}p0"))))
+    return sizes & (differ * (100 + s.percent) <= (F.col(f"{x}size") + F.col(f"{y}size")) * (100 - s.percent))
+
+
+def _marked(marks: DataFrame, by: str) -> DataFrame:
+    """``marks`` with the node as ``by`` and the other columns prefixed with it."""
+    return marks.select(F.col("node").alias(by), *(F.col(c).alias(f"{by}_{c}") for c in marks.columns if c != "node"))
+
+
+def _links(pairs: DataFrame, marks: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) whose texts are alike enough. Many pairs of one ``a`` are dealt over tasks, and its text goes once to each part."""
+    near = pairs.join(_marked(marks, "a"), "a").join(_marked(marks, "b"), "b").where(_close(s, "a_", "b_")).select("a", "b")
+    near = cut(near)
+    parts = near.groupBy("a").agg(F.expr(f"count(*) div {PART_PAIRS} + 1").alias("parts"))
+    dealt = near.join(parts, "a").select("a", "b", F.expr("pmod(xxhash64(b), parts)").alias("part"))
+    heads = dealt.select("a", "part").distinct().join(texts, F.col("a") == F.col("node")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    others = dealt.join(texts, F.col("b") == F.col("node")).select("a", "part", "b", "text")
+    rows = heads.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return cut(rows.select("a", "b", "text").mapInArrow(tidy(_verify(s)), "a long, b long"))
 
 
 def _grouped(members: DataFrame, found: DataFrame) -> DataFrame:
-    """``members`` (bucket, node, centre) with the components of node and centre: group, centre_group."""
+    """``members`` (bucket, node) with the node's component, of buckets with more than one; main: the bucket's largest, and pick, a member of that."""
     mine = found.select(F.col("node").alias("_node"), F.col("component").alias("_group"))
-    other = found.select(F.col("node").alias("_centre"), F.col("component").alias("_centre_group"))
-    met = members.join(mine, F.col("node") == F.col("_node"), "left").join(other, F.col("centre") == F.col("_centre"), "left")
-    return met.select("bucket", "node", "centre", F.coalesce("_group", "node").alias("group"), F.coalesce("_centre_group", "centre").alias("centre_group"))
+    rows = cut(members.join(mine, F.col("node") == F.col("_node"), "left").select("bucket", "node", F.coalesce("_group", "node").alias("group")))
+    return rows
 
 
-def _links(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) whose texts are alike enough."""
-    kind = texts.schema["node"].dataType.simpleString()
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return cut(two.mapInArrow(tidy(_verify(s)), f"a {kind}, b {kind}"))
+def _main(grouped: DataFrame, salt: int) -> DataFrame:
+    """bucket, main and pick of buckets with more than one component: the largest one, and one of its members by a salted hash."""
+    each = grouped.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "bucket", F.lit(salt))).alias("pick"))
+    best = each.groupBy("bucket").agg(F.max(F.struct("n", "group", "pick")).alias("best"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    return best.select("bucket", F.col("best.group").alias("main"), F.col("best.pick").alias("pick"))
+
+
+def _stars(found: DataFrame) -> DataFrame:
+    return found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
 
 
 def _shingle_rows(s: Settings):
@@ -168,26 +225,7 @@ def _shingle_rows(s: Settings):
                 size = np.array([x.size for x in sets])
                 at = pa.array(np.repeat(np.arange(a, b), size))
                 flat = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(np.repeat(size, size).astype(np.int32)), pa.array(flat)], names=["node", "group", "query", "size", "shingle"])
-
-    return run
-
-
-#: Sizes within one band differ by this factor at most.
-SIZE_STEP = 1.1
-#: Words of a set's parity bitmap.
-PARITY_WORDS = 8
-
-
-def _parities(s: Settings):
-    """mapInArrow body over (node, text): for each of 512 buckets, whether an odd number of the set's shingles fall into it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in _text.slices(batch.column(1)):
-                odd = np.stack([np.bincount((x & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1 for x in shingle_sets(data, offsets, s.words)])
-                words = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(PARITY_WORDS))], names=["of", *(f"p{i}" for i in range(PARITY_WORDS))])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(flat)], names=["node", "group", "query", "shingle"])
 
     return run
 
@@ -196,38 +234,64 @@ def _size_band(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / math.log(SIZE_STEP)).cast("int")
 
 
-def _rest(members: DataFrame, found: DataFrame, tried: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """Pairs that the centres leave open: members in another component than their bucket's centre, with all from which they are apart.
+def _rest(grouped: DataFrame, marks: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Pairs that the rounds leave open: members outside their bucket's largest component, with all from which they are apart.
 
     Two sets that are alike enough share one of their rarest shingles, and at such places in the
     order by rarity that enough can follow; so pairs come from an equi-join on rare shingles (and on
-    the size band), never from a bucket's members times themselves. Sets differ in no fewer shingles
-    than their parity bitmaps in bits, which the join checks too. All three filters are exact.
+    the size band), never from a bucket's members times themselves. The join checks sizes and parity
+    words too. All filters are exact.
     """
-    kind = members.schema["node"].dataType.simpleString()
-    grouped = cut(_grouped(members.where("n > 2"), found).select("bucket", "node", "group", (F.col("group") != F.col("centre_group")).alias("apart")))
-    open_buckets = grouped.where("apart").select("bucket").distinct()
-    pool = grouped.join(open_buckets, "bucket", "left_semi").groupBy("node", "group").agg(F.bool_or("apart").alias("query"))
+    pool = grouped.join(_main(grouped, 0).drop("pick"), "bucket").groupBy("node", "group").agg(F.bool_or(F.col("group") != F.col("main")).alias("query"))
     rows = pool.join(texts, "node").select("node", "group", "query", "text")
-    rows = cut(rows.mapInArrow(tidy(_shingle_rows(s)), f"node {kind}, group {kind}, query boolean, size int, shingle long"))
+    rows = cut(rows.mapInArrow(tidy(_shingle_rows(s)), "node long, group long, query boolean, shingle long"))
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")) - 1
-    rare = rows.join(shared, "shingle").withColumn("place", place).where((F.col("size") - F.col("place")) * 100 >= F.col("size") * s.percent)
-    rare = rare.withColumn("left_over", F.col("size") - F.col("place"))
+    rare = rows.join(shared.where("df > 1"), "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("place", place).where("df > 1").join(marks, "node")
+    rare = rare.withColumn("left_over", F.col("size") - F.col("place")).where(F.col("left_over") * 100 >= F.col("size") * s.percent)
     # Of sizes x and y at least p/(100+p)*(x+y) shingles must be common, and no more than are left over.
     largest = F.least(F.floor(F.col("left_over") * (100 + s.percent) / s.percent) - F.col("size"), F.floor(F.col("size") * 100 / s.percent))
     smallest = F.greatest(F.ceil(F.col("size") * s.percent / 100), F.lit(1))
     bands = F.when(largest >= smallest, F.sequence(_size_band(smallest), _size_band(largest)))
-    parity = texts.join(pool.select(F.col("node").alias("of")), F.col("node") == F.col("of"), "left_semi").select("node", "text")
-    parity = parity.mapInArrow(_parities(s), f"of {kind}, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)))
-    rare = rare.join(parity, F.col("node") == F.col("of"))
-    one = rare.where("query").select("shingle", F.explode(bands).alias("band"), F.col("node").alias("x"), F.col("group").alias("x_group"), F.col("size").alias("x_size"), F.col("left_over").alias("x_left"), *(F.col(f"p{i}").alias(f"x{i}") for i in range(PARITY_WORDS)))
-    two = rare.select("shingle", _size_band(F.col("size")).alias("band"), F.col("node").alias("y"), F.col("group").alias("y_group"), F.col("size").alias("y_size"), F.col("left_over").alias("y_left"), *(F.col(f"p{i}").alias(f"y{i}") for i in range(PARITY_WORDS)))
-    enough = F.least("x_left", "y_left") * (100 + s.percent) >= (F.col("x_size") + F.col("y_size")) * s.percent
-    differ = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, PARITY_WORDS)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
-    close = differ * (100 + s.percent) <= (F.col("x_size") + F.col("y_size")) * (100 - s.percent)
-    met = one.join(two, ["shingle", "band"]).where((F.col("x_group") != F.col("y_group")) & enough & close)
-    return cut(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    kept = ["node", "group", "left_over", *(c for c in marks.columns if c != "node")]
+    one = rare.where("query").select("shingle", F.explode(bands).alias("band"), *(F.col(c).alias(f"x_{c}") for c in kept))
+    two = rare.select("shingle", _size_band(F.col("size")).alias("band"), *(F.col(c).alias(f"y_{c}") for c in kept))
+    enough = F.least("x_left_over", "y_left_over") * (100 + s.percent) >= (F.col("x_size") + F.col("y_size")) * s.percent
+    met = one.join(two, ["shingle", "band"]).where((F.col("x_group") != F.col("y_group")) & enough & _close(s, "x_", "y_"))
+    return cut(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
+
+
+def near_classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, sha, n_shingles, set_key) of ``docs``, and for each set_key: the first doc_id of its component, and the first row (first_id, first_sha) of its class if the class is the component's first."""
+    rows, classes = _classes(docs, s)
+    marks = classes.drop("set_key", "first_id", "first_sha", "bands")
+    entries = classes.select("node", F.explode("bands").alias("bucket"))
+    members = cut(entries.join(_centres(entries), "bucket").select("bucket", "node", "centre"))
+    wanted = members.select("node").distinct().join(classes.select("node", "first_id", "first_sha"), "node")
+    told = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("sha"), "text").withColumn("place", F.xxhash64("doc_id", "sha"))
+    held = told.join(wanted.withColumn("place", F.xxhash64("first_id", "first_sha")), "place").where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("sha") == F.col("first_sha")))
+    texts = cut(held.dropDuplicates(["place", "node"]).select("node", "text"))
+    found = components(_links(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), marks, texts, s))
+    members = members.drop("centre")
+    for salt in range(1, ROUNDS + 1):
+        grouped = _grouped(members, found)
+        met = grouped.join(_main(grouped, salt), "bucket").where("group <> main").select(F.col("pick").alias("a"), F.col("node").alias("b")).distinct()
+        links = _links(met, marks, texts, s)
+        if links.isEmpty():
+            break
+        found = components(_stars(found).unionByName(links))
+    else:
+        grouped = _grouped(members, found)
+    rest = _rest(grouped, marks, texts, s)
+    if not rest.isEmpty():
+        found = components(_stars(found).unionByName(_links(rest, marks, texts, s)))
+
+    heads = classes.select(F.col("node").alias("component"), F.col("first_id").alias("component_id"))
+    leads = F.col("node") == F.col("component")
+    mine = classes.select("node", "set_key", "first_id", "first_sha").join(found.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"), "left")
+    moved = mine.where("component is not null").join(heads, "component").select("set_key", "component_id", F.when(leads, F.col("first_id")).alias("first_id"), F.when(leads, F.col("first_sha")).alias("first_sha"))
+    alone = mine.where("component is null").select("set_key", F.col("first_id").alias("component_id"), "first_id", "first_sha")
+    return rows, moved.unionByName(alone)
 
 
 def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -237,32 +301,23 @@ def near_groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     more; a component's smallest doc_id names it and is the one kept. A null or empty text is linked
     with nothing and is its own component. Rows with equal sets are one class from the start, however
     many. A null doc_id can't be a component: such a row is in its class's component, or in null, and
-    isn't kept. Rows that repeat a doc_id share a node; other columns of ``docs`` are not read.
+    isn't kept. Rows that repeat a doc_id are judged by their own texts. An empty table gives no rows;
+    other columns of ``docs`` are not read.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(docs.select("doc_id", "text").mapInArrow(tidy(_describe(s)), f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>"))
-    classes = cut(rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    entries = classes.where("node is not null").select("node", F.explode("bands").alias("bucket"))
-    members = cut(entries.join(_centres(entries), "bucket").select("bucket", "node", "centre", "n"))
-    stars = cut(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    texts = _texts(members.select("node").distinct(), docs)
-    links = _links(stars, texts, s)
-    found = components(links)
-    rest = _rest(members, found, stars, texts, s)
-    if not rest.isEmpty():
-        found = components(links.unionByName(_links(rest, texts, s)))
-
-    named = classes.join(found.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"), "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    rows, named = near_classes(docs, s)
+    full = rows.where("set_key is not null").join(named, "set_key").select("doc_id", "n_shingles", "component_id")
+    out = full.unionByName(rows.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def drop_near_copies(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, that with the smallest doc_id; the columns stay as they are.
+    """``docs`` with one row of each near-duplicate group, one with the smallest doc_id; the columns stay as they are.
 
-    Rows without a doc_id stay.
+    Rows are told apart by doc_id and text: a doc_id with several texts stays with each that leads its
+    group. A row without a doc_id stays only if all of its group have none. Of rows that repeat both, the
+    one that is least by its other columns stays. Texts without a word are linked with nothing and stay.
     """
-    gone = near_groups(docs, s).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    rows, named = near_classes(docs, s)
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("sha") == F.col("first_sha"))
+    full = rows.where("set_key is not null").join(named, "set_key").select("doc_id", "sha", F.coalesce(first, F.lit(False)).alias("stays"))
+    return one_row_each(docs, full.unionByName(rows.where("set_key is null").select("doc_id", "sha", F.lit(True).alias("stays"))))

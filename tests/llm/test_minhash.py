@@ -82,7 +82,20 @@ def test_repeated_rows_nulls_and_other_columns(spark):
     assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, False), (None, 1, None, False), (None, 0, None, False)], key=str)
     assert M.near_groups(df.where("false")).collect() == []
     left = M.drop_near_copies(df)
-    assert left.columns == df.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 0, 1, 1]
+    assert left.columns == df.columns and sorted(map(tuple, left.collect()), key=str) == [(1, "a b c d", 0), (None, "z", 0), (None, None, 0)]
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [
+        (7, "twice a b c", "x"), (7, "only here d e f", "x"), (9, "twice a b c", "x"),  # an id with two texts, of which one has a copy
+        (5, "p q r s", "y"), (5, "P q  r s", "x"), (5, "p q r s", "x"), (6, "P Q R S", "x"),  # rows of one id whose sets are equal
+        (None, "n o", "x"), (None, "n o", "x"), (None, "", "x"), (3, "", "x"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own_sha string").repartition(3)
+    got = sorted(map(tuple, M.drop_near_copies(df).collect()), key=str)
+    texts = [t for d, t, _ in got if d == 5]
+    assert len(texts) == 1 and texts[0].lower().split() == ["p", "q", "r", "s"]
+    assert [x for x in got if x[0] != 5] == sorted([(7, "twice a b c", "x"), (7, "only here d e f", "x"), (None, "n o", "x"), (None, "", "x"), (3, "", "x")], key=str)
 
 
 def test_signatures_estimate_similarity():
