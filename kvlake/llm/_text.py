@@ -90,14 +90,14 @@ def _blocks(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> It
 
 
 def words(
-    data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, fold: np.ndarray = SAME, stem: int = 0
+    data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE, fold: np.ndarray = SAME, stems: tuple[int, ...] = ()
 ) -> tuple[np.ndarray, ...]:
     """Hash, first byte and end byte of every word, and for each text the index of its first word.
 
-    With ``stem``, a fifth array holds the hash of each word's first ``stem`` bytes.
+    For each length in ``stems``, one more array holds the hash of each word's first bytes, so many.
     """
     inner = offsets[1:-1]
-    hashes, starts, ends, stems = [], [], [], []
+    hashes, starts, ends, cut = [], [], [], [[] for _ in stems]
     byte = _BYTE[fold]
     for a, b in _blocks(data, offsets, separators):
         part = data[a:b]
@@ -113,16 +113,15 @@ def words(
         sums = np.zeros(b - a + 1, dtype=np.uint64)
         np.cumsum(byte[part] * up[: b - a], out=sums[1:])
         hashes.append(mix((sums[e] - sums[s]) * down[s]))
-        if stem:
-            stems.append(mix((sums[np.minimum(e, s + stem)] - sums[s]) * down[s] + np.uint64(stem)))
+        for parts, size in zip(cut, stems, strict=True):
+            parts.append(mix((sums[np.minimum(e, s + size)] - sums[s]) * down[s] + np.uint64(size)))
         starts.append(s + a)
         ends.append(e + a)
     none = np.zeros(0, np.int64)
     h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     s = np.concatenate(starts) if starts else none
     e = np.concatenate(ends) if ends else none
-    found = h, s, e, np.searchsorted(s, offsets)
-    return (*found, np.concatenate(stems) if stems else np.zeros(0, np.uint64)) if stem else found
+    return h, s, e, np.searchsorted(s, offsets), *(np.concatenate(parts) if parts else np.zeros(0, np.uint64) for parts in cut)
 
 
 def per_text(marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct buckets of words, of words cut to a stem (their first bytes, for inflected
-forms), of pairs of neighbours and of pairs one word apart.
+Features are the distinct buckets of words, of words cut to stems (their first bytes, for inflected
+forms), of the second, third and fourth time that a stem comes up in a text, of pairs of neighbours and
+of pairs one word apart.
 Per-coordinate learning rates and L1 leave few weights that are not zero; those alone are sent to
 the tasks that score.
 """
@@ -20,7 +21,8 @@ from . import _text
 from ._spark import tidy
 
 
-STEM = 5
+#: Bytes of the stems, and how many times of one in a text are told apart.
+STEMS, TIMES = (5, 7), 4
 
 
 @dataclass(frozen=True)
@@ -37,11 +39,26 @@ class Settings:
     threshold: float = 0.7
 
 
+def _again(stems: np.ndarray, owner: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Features, and their texts, of the second to ``TIMES``-th time that a stem comes up in a text."""
+    key = _text.mix(stems + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.arange(key.size)
+    nth = at - np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1])[: key.size], at, 0))
+    places = [order[nth == n] for n in range(1, TIMES)]
+    return [_text.mix(stems[p] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(n)) for n, p in enumerate(places, 1)], [owner[p] for p in places]
+
+
 def grams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of every feature of a slice, and the text it is in; a text's buckets may repeat."""
-    h, _, _, bounds, stems = _text.words(data, offsets, _text.NOT_ALNUM, _text.FOLD, STEM)
+    h, _, _, bounds, *stems = _text.words(data, offsets, _text.NOT_ALNUM, _text.FOLD, STEMS)
     owner = np.repeat(np.arange(offsets.size - 1), np.diff(bounds))
-    found, owners = [h, stems], [owner, owner]
+    found, owners = [h, *stems], [owner] * (1 + len(stems))
+    for one in stems:
+        more, of = _again(one, owner)
+        found += more
+        owners += of
     for gap, salt in ((1, 0x2545F4914F6CDD1D), (2, 0x9E6C63D0876A9A4B)):
         same = owner[gap:] == owner[:-gap]
         found.append(_text.mix(h[:-gap] * np.uint64(salt) + h[gap:])[same])
@@ -95,7 +112,9 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple
     """Learn from labelled rows; ``labels`` (doc_id, toxic) holds those that may be seen.
 
     At most ``s.sample`` rows are taken, so both the broadcast ids and the rows that reach the
-    driver are bounded. Null ids or labels are passed over. Without any row the model is a bias of 0.
+    driver are bounded; a row sends four bytes for each of its distinct features. Null ids or labels
+    are passed over, repeated labels count once, and an id with both labels counts with each. Without
+    any row the model is a bias of 0.
     """
     at = F.xxhash64("doc_id")
     seen = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label"), at.alias("at")).distinct()
@@ -131,7 +150,11 @@ def _score_rows(model: tuple[np.ndarray, np.ndarray, float], bits: int):
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], s: Settings = Settings()) -> DataFrame:
-    """doc_id and score (0 to 1) of every row of ``docs``; null and empty texts get the bias alone."""
+    """doc_id and score (0 to 1) of every row of ``docs``; null and empty texts get the bias alone.
+
+    Rows that repeat, or have no id, are scored like any other; an empty table gives no rows; other
+    columns of ``docs`` are not read. A long text is scored as a whole, in one pass over its words.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(tidy(_score_rows(model, s.bits)), f"doc_id {kind}, score double")
 
@@ -149,6 +172,9 @@ def _flag_rows(model: tuple[np.ndarray, np.ndarray, float], s: Settings, text_at
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``docs`` without the rows that score ``s.threshold`` or more; one pass, the columns stay as they are."""
+    """``docs`` without the rows that score ``s.threshold`` or more; one pass, the columns stay as they are, whatever their names.
+
+    Repeated rows and rows without an id are judged like any other; an empty table gives no rows.
+    """
     model = train(docs, labels, s)
     return docs.mapInArrow(tidy(_flag_rows(model, s, docs.columns.index("text"))), docs.schema)
