@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._spark import cut
@@ -22,22 +22,38 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.select(F.col("m").alias("a"), "b")).where("a < b").distinct()
 
 
+def _edges(links: DataFrame) -> DataFrame:
+    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """One round of contraction: links (a < b) that join the same nodes, most of them to the smallest node of their component."""
+    return cut(_small_star(_large_star(_edges(links))))
+
+
+def part_labels(links: DataFrame) -> DataFrame:
+    """(node, component) by the smallest linked node: nodes of one label are joined, but a component may have several labels."""
+    return links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b): the component is its smallest node.
 
     Rounds go on until the links are stars around the smallest nodes: a number that grows with the
     logarithm of the longest chain. Each round's links are written to the shared checkpoint folder;
-    only three sums reach the driver. Links with a null end or to the node itself say nothing.
+    only three sums reach the driver, counted while they are written. Links with a null end or to the
+    node itself say nothing.
     """
-    edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    def marks(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.bit_xor(F.xxhash64("b", "a")).alias("y")))
+        return out, tuple(seen.get.values())
 
-    now = marks(edges)
+    edges, now = written(_edges(links))
     while now[0]:
-        edges = cut(_small_star(_large_star(edges)))
-        before, now = now, marks(edges)
+        before = now
+        edges, now = written(_small_star(_large_star(edges)))
         if before == now:
             break
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

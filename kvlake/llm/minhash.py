@@ -4,9 +4,9 @@ Signatures: two permutations of the 32-bit numbers serve all coordinates. The fi
 shingles; the second is read from places shifted round the circle by 0, 1, 2, ... .
 
 Candidates: a band's bucket is not expanded into pairs. Every member is paired with one centre, the
-first member; the pairs are verified on the full sets, and components are built from the links. In a few
-more rounds the members outside a bucket's largest component meet other members of that component, one a
-bucket, so that a large family becomes one component by pairs in proportion to its members. Whoever is
+first member; the pairs are verified on the full sets, and components are built from the links. In a second round
+the members outside a bucket's largest component meet another member of that component, a different one in
+each bucket, so that a large family becomes one component by pairs in proportion to its members. Whoever is
 still outside is then tried against all texts of such buckets from which it is apart, found by exact
 filters on their rarest shingles and parity bitmaps. So no link is lost between texts that share a
 bucket, and a bucket that is one component costs no further pair.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._spark import cut, one_row_each, tidy
-from .components import components
+from .components import components, contracted, part_labels
 
 
 @dataclass(frozen=True)
@@ -95,8 +95,6 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 PARITY_WORDS = 8
 #: Pairs of one centre that a task compares, about: the centre's text travels once for so many.
 PART_PAIRS = 64
-#: Rounds in which members outside a bucket's largest component meet other members of it.
-ROUNDS = 3
 #: Sizes within one band differ by this factor at most.
 SIZE_STEP = 1.1
 
@@ -171,8 +169,8 @@ def _classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
 
 
 def _centres(members: DataFrame) -> DataFrame:
-    """bucket and centre of buckets with two members or more: the first, for originals mostly precede their copies. Any choice gives the same groups."""
-    return members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    """bucket, centre and n of buckets with two members or more: the first, for originals mostly precede their copies. Any choice gives the same groups."""
+    return members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def _close(s: Settings, x: str, y: str) -> Column:
@@ -200,23 +198,18 @@ def _links(pairs: DataFrame, marks: DataFrame, texts: DataFrame, s: Settings) ->
 
 
 def _grouped(members: DataFrame, found: DataFrame) -> DataFrame:
-    """``members`` (bucket, node) with the node's component, of buckets with more than one; main: the bucket's largest, and pick, a member of that."""
+    """bucket, node and the node's component, of ``members``."""
     mine = found.select(F.col("node").alias("_node"), F.col("component").alias("_group"))
-    rows = cut(members.join(mine, F.col("node") == F.col("_node"), "left").select("bucket", "node", F.coalesce("_group", "node").alias("group")))
-    return rows
+    return cut(members.join(mine, F.col("node") == F.col("_node"), "left").select("bucket", "node", F.coalesce("_group", "node").alias("group")))
 
 
-def _main(grouped: DataFrame, salt: int) -> DataFrame:
-    """bucket, main and pick of buckets with more than one component: the largest one, and one of its members by a salted hash."""
-    each = grouped.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "bucket", F.lit(salt))).alias("pick"))
+def _main(grouped: DataFrame) -> DataFrame:
+    """bucket, main and pick of buckets with more than one component: the largest one, and one of its members by a hash."""
+    each = grouped.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "bucket")).alias("pick"))
     best = each.groupBy("bucket").agg(F.max(F.struct("n", "group", "pick")).alias("best"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     return best.select("bucket", F.col("best.group").alias("main"), F.col("best.pick").alias("pick"))
 
 
-def _stars(found: DataFrame) -> DataFrame:
-    return found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-
-
 def _shingle_rows(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,7 +235,7 @@ def _rest(grouped: DataFrame, marks: DataFrame, texts: DataFrame, s: Settings) -
     the size band), never from a bucket's members times themselves. The join checks sizes and parity
     words too. All filters are exact.
     """
-    pool = grouped.join(_main(grouped, 0).drop("pick"), "bucket").groupBy("node", "group").agg(F.bool_or(F.col("group") != F.col("main")).alias("query"))
+    pool = grouped.join(_main(grouped).drop("pick"), "bucket").groupBy("node", "group").agg(F.bool_or(F.col("group") != F.col("main")).alias("query"))
     rows = pool.join(texts, "node").select("node", "group", "query", "text")
     rows = cut(rows.mapInArrow(tidy(_shingle_rows(s)), "node long, group long, query boolean, shingle long"))
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
@@ -266,25 +259,22 @@ def near_classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     rows, classes = _classes(docs, s)
     marks = classes.drop("set_key", "first_id", "first_sha", "bands")
     entries = classes.select("node", F.explode("bands").alias("bucket"))
-    members = cut(entries.join(_centres(entries), "bucket").select("bucket", "node", "centre"))
+    members = cut(entries.join(_centres(entries), "bucket").select("bucket", "node", "centre", "n"))
     wanted = members.select("node").distinct().join(classes.select("node", "first_id", "first_sha"), "node")
     told = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("sha"), "text").withColumn("place", F.xxhash64("doc_id", "sha"))
     held = told.join(wanted.withColumn("place", F.xxhash64("first_id", "first_sha")), "place").where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("sha") == F.col("first_sha")))
     texts = cut(held.dropDuplicates(["place", "node"]).select("node", "text"))
-    found = components(_links(members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), marks, texts, s))
-    members = members.drop("centre")
-    for salt in range(1, ROUNDS + 1):
-        grouped = _grouped(members, found)
-        met = grouped.join(_main(grouped, salt), "bucket").where("group <> main").select(F.col("pick").alias("a"), F.col("node").alias("b")).distinct()
-        links = _links(met, marks, texts, s)
-        if links.isEmpty():
-            break
-        found = components(_stars(found).unionByName(links))
-    else:
-        grouped = _grouped(members, found)
-    rest = _rest(grouped, marks, texts, s)
+    pairs = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    # The components that pairs are chosen by may be too small; those that count are made last.
+    links = contracted(_links(pairs, marks, texts, s))
+    open_ones = members.where("n > 2").select("bucket", "node")
+    grouped = _grouped(open_ones, part_labels(links))
+    again = grouped.join(_main(grouped), "bucket").where("group <> main").select(F.col("pick").alias("a"), F.col("node").alias("b")).distinct()
+    links = contracted(links.unionByName(_links(again, marks, texts, s)))
+    rest = _rest(_grouped(open_ones, part_labels(links)), marks, texts, s)
     if not rest.isEmpty():
-        found = components(_stars(found).unionByName(_links(rest, marks, texts, s)))
+        links = links.unionByName(_links(rest, marks, texts, s))
+    found = components(links)
 
     heads = classes.select(F.col("node").alias("component"), F.col("first_id").alias("component_id"))
     leads = F.col("node") == F.col("component")
