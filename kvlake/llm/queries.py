@@ -133,8 +133,11 @@ ORACLE_SQL: dict[str, str] = {
         p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '(?s)^([^/]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
                      coalesce(regexp_extract(rest, '(?s)^[^/]*(.*)$', 1), '') AS path FROM parts),
         urls AS (SELECT DISTINCT host, path FROM p),
+        labels AS (SELECT DISTINCT host, unnest(string_split(host, '.')) AS label FROM p),
+        words AS (SELECT host, string_split(part, ':')[1] AS word FROM (SELECT host, unnest(string_split(label, '-')) AS part FROM labels)),
+        topical AS (SELECT DISTINCT host FROM words WHERE word IN (TOPICS)),
         hit AS (SELECT u.host, u.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
                 FROM urls u JOIN rules r ON (u.host = r.host OR u.host LIKE '%.' || r.host) AND starts_with(u.path, r.path) GROUP BY ALL)
-        SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.verdict, CASE WHEN regexp_matches(p.host, '(^|\.)(cheap-pills|free-bets|ads-track|spam-farm)([.:]|$)') THEN 'block' ELSE 'allow' END) AS verdict
-        FROM p LEFT JOIN hit h ON p.host = h.host AND p.path = h.path""",
+        SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.verdict, CASE WHEN EXISTS (SELECT 1 FROM topical t WHERE t.host = p.host) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM p LEFT JOIN hit h ON p.host = h.host AND p.path = h.path""".replace("TOPICS", ", ".join(f"'{w}'" for words in url_filter.TOPICS.values() for w in words.split())),
 }

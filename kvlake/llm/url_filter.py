@@ -3,7 +3,11 @@
 A rule has a pattern over ``host || path`` and a priority. The literal tokens that every matching
 URL must hold are known for each rule; the rule is filed under the one that is rarest in the URLs
 at hand (counted over all rows). A URL's tokens fetch the rules filed under them, and only those
-run their regular expression. Every row is judged on its own: no shuffle of the rows.
+run their regular expression.
+
+A short list of rules travels inside the plan as a map, and every row is judged on its own. A longer
+one, or one that is a table, is joined: distinct URLs meet the index by token, and rows meet the verdict
+of their URL. Both give the same result.
 """
 
 from __future__ import annotations
@@ -14,8 +18,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules beyond this are refused: the index travels inside the plan.
-MAX_RULES = 2000
+#: Rules beyond this are joined as a table.
+MAP_RULES = 500
+RULE_SCHEMA = "name string, pattern string, verdict string, tokens array<string>, rank int, named boolean"
+
+# Words that name what a host with one of them as a part of its name is for.
+TOPICS = {
+    "gambling": "bet bets betting bingo blackjack bookie bookmaker casino casinos gambling jackpot lotto lottery poker roulette slots sportsbook wager",
+    "adult": "adult camgirls cams erotic escort escorts hentai nude nudes porn porno sex sexy xxx",
+    "medicines": "cialis levitra meds pharma pharmacy pill pills steroids tramadol viagra weightloss xanax",
+    "advertising": "ad ads adserver adserving advert adverts banner banners clickbait doubleclick popads popunder tracker trackers tracking",
+    "spam": "backlink backlinks linkfarm phishing scam seolinks spam spammer spamming",
+    "malware": "crack cracks keygen malware ransomware trojan warez",
+    "fraud": "counterfeit fakeid payday replica replicas",
+}
 
 
 @dataclass(frozen=True)
@@ -43,9 +59,9 @@ def prefix_rule(verdict: str, host: str, path: str) -> Rule:
     return Rule(host + path, r"^(?:[^/]*\.)?" + re.escape(host) + re.escape(path), verdict, tuple(x.lower() for x in parts), 1000 + len(host + path))
 
 
-def label_rule(verdict: str, label: str) -> Rule:
-    """Fits hosts one of whose dot-separated labels is ``label``, like ``free-bets``."""
-    return Rule(label, r"^(?:[^/]*\.)?" + re.escape(label) + r"(?:[.:/]|$)", verdict, tuple(re.findall(r"[a-z0-9]+", label)), 1, False)
+def topic_rule(verdict: str, topic: str) -> Rule:
+    """Fits hosts of which ``topic`` is a part between dots and hyphens, like ``free-bets.example.com`` for ``bets``."""
+    return Rule(topic, r"^(?:[^/]*[.-])?" + re.escape(topic) + r"(?![^-.:/])", verdict, (topic,), 1, False)
 
 
 RULES = (
@@ -54,10 +70,7 @@ RULES = (
     prefix_rule("block", "example.org", "/en/1"),
     prefix_rule("allow", "com", "/fr/"),
     prefix_rule("block", "com", "/de/"),
-    label_rule("block", "cheap-pills"),
-    label_rule("block", "free-bets"),
-    label_rule("block", "ads-track"),
-    label_rule("block", "spam-farm"),
+    *(topic_rule("block", word) for words in TOPICS.values() for word in words.split()),
 )
 
 
@@ -76,42 +89,66 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.split(F.lower(F.concat(host, path)), "[^a-z0-9]+"))
 
 
-def token_counts(parts: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
-    """How many rows hold each literal token of the rules: one row of counts, whatever the input's size."""
-    names = sorted({t for r in rules for t in r.tokens})
-    if not names:
-        return {}
-    row = parts.select([F.count_if(F.array_contains("tokens", t)).alias(f"c{i}") for i, t in enumerate(names)]).first()
-    return {t: row[i] for i, t in enumerate(names)}
+def token_counts(parts: DataFrame, tokens: list[str]) -> dict[str, int]:
+    """How many rows hold each of the tokens; at most as many numbers come back, whatever the input's size."""
+    held = parts.select(F.explode(F.array_intersect("tokens", F.array(*map(F.lit, tokens)))).alias("token")) if tokens else None
+    found = {r.token: r.n for r in held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()} if held is not None else {}
+    return {t: found.get(t, 0) for t in tokens}
 
 
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = "allow") -> DataFrame:
-    """Judge ``pages.url``: page_id, host, path, rule, verdict for each row, repeated rows included.
+def rules_table(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rules as a table (``RULE_SCHEMA``), to be kept or filtered with."""
+    return pages.sparkSession.createDataFrame([(r.name, r.pattern, r.verdict, list(r.tokens), r.rank, r.named) for r in rules], RULE_SCHEMA)
 
-    ``rule`` is the name of the winning named rule, else null; ``verdict`` is that of the best
-    matching rule of any kind, else ``default``. Other columns of ``pages`` are not read; a null
-    page_id is passed on.
-    """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} fit the plan")
-    if any(not r.tokens for r in rules):
-        raise ValueError("each rule needs a literal token")
-    host, path = split_url(F.col("url"))
-    parts = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path")).withColumn("tokens", tokens(F.col("host"), F.col("path")))
-    counts = token_counts(parts, rules)
+
+_BEST = ["rank", "name", "pattern", "verdict", "named"]
+
+
+def _by_map(parts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``parts`` with ``best``: rules from a map in the plan, no shuffle."""
+    counts = token_counts(parts, sorted({t for r in rules for t in r.tokens}))
     filed: dict[str, list[Rule]] = {}
     for r in rules:
         filed.setdefault(min(r.tokens, key=lambda t: (counts[t], t)), []).append(r)
 
     def entry(r: Rule) -> Column:
-        return F.struct(F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern"), F.lit(r.verdict).alias("verdict"), F.lit(r.named).alias("named"))
-
-    out = parts
-    if filed:
-        index = F.create_map(*[x for t, rs in filed.items() for x in (F.lit(t), F.array(*map(entry, rs)))])
-        fetched = F.flatten(F.filter(F.transform("tokens", lambda t: F.try_element_at(index, t)), lambda x: x.isNotNull()))
-        fits = F.filter(fetched, lambda r: F.regexp_like(F.concat("host", "path"), r["pattern"]))
-        out = out.withColumn("best", F.array_max(fits))
+        return F.struct(*(F.lit(getattr(r, name)).alias(name) for name in _BEST))
+
+    index = F.create_map(*[x for t, rs in filed.items() for x in (F.lit(t), F.array(*map(entry, rs)))])
+    fetched = F.flatten(F.filter(F.transform("tokens", lambda t: F.try_element_at(index, t)), lambda x: x.isNotNull()))
+    return parts.withColumn("best", F.array_max(F.filter(fetched, lambda r: F.regexp_like(F.concat("host", "path"), r["pattern"]))))
+
+
+def _by_join(parts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``parts`` with ``best``: distinct URLs are joined with the index of the rules by token."""
+    urls = parts.select("host", "path", "tokens").dropDuplicates(["host", "path"])
+    held = urls.select("host", "path", F.explode("tokens").alias("token"))
+    literal = rules.select(*_BEST, F.explode("tokens").alias("token"))
+    n = parts.select(F.explode("tokens").alias("token")).join(literal.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.min_by("token", F.struct("n", "token")).alias("token")
+    index = literal.join(n, "token", "left").withColumn("n", F.coalesce("n", F.lit(0))).groupBy(*_BEST).agg(rarest)
+    fits = held.join(index, "token").where(F.regexp_like(F.concat("host", "path"), F.col("pattern")))
+    best = fits.groupBy(F.col("host").alias("of_host"), F.col("path").alias("of_path")).agg(F.max(F.struct(*_BEST)).alias("best"))
+    return parts.join(best, (F.col("host") == F.col("of_host")) & (F.col("path") == F.col("of_path")), "left")
+
+
+def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, default: str = "allow", map_rules: int = MAP_RULES) -> DataFrame:
+    """Judge ``pages.url``: page_id, host, path, rule, verdict for each row, repeated rows included.
+
+    ``rules``: rules, or a table of them (``RULE_SCHEMA``; one without tokens never fits). ``rule`` is the
+    name of the winning named rule, else null; ``verdict`` is that of the best matching rule of any kind,
+    else ``default``. Other columns of ``pages`` are not read; a null page_id is passed on; an empty table
+    gives no rows, and a long URL is matched as a whole.
+    """
+    listed = not isinstance(rules, DataFrame)
+    if listed and any(not r.tokens for r in rules):
+        raise ValueError("each rule needs a literal token")
+    host, path = split_url(F.col("url"))
+    parts = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path")).withColumn("tokens", tokens(F.col("host"), F.col("path")))
+    if listed and not rules:
+        out = parts.withColumn("best", F.lit(None).cast("struct<rank:int,name:string,pattern:string,verdict:string,named:boolean>"))
+    elif listed and len(rules) <= map_rules:
+        out = _by_map(parts, rules)
     else:
-        out = out.withColumn("best", F.lit(None).cast("struct<rank:int,name:string,pattern:string,verdict:string,named:boolean>"))
+        out = _by_join(parts, rules_table(pages, rules) if listed else rules)
     return out.select("page_id", "host", "path", F.when(F.col("best.named"), F.col("best.name")).alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
