@@ -37,3 +37,8 @@ def duration_bucket(seconds: Column) -> Column:
 def throughput(latencies: DataFrame, by: list[str], elapsed_seconds: Column) -> DataFrame:
     """Ops and ops a second of each group."""
     return latencies.groupBy(*by).agg(F.count(F.lit(1)).alias("ops")).withColumn("ops_per_sec", F.col("ops") / elapsed_seconds)
+
+
+def request_counts(requests: DataFrame) -> DataFrame:
+    """Requests of each method and result code: method, code, n."""
+    return requests.groupBy("method", "code").agg(F.count(F.lit(1)).alias("n"))

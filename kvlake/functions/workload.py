@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvlake.operators.log import running_total
+
 from .hashing import user_key
 
 #: Percent of each op by workload, and how keys are drawn.
@@ -74,11 +76,25 @@ def fill(spark: SparkSession, n: int, value_size: int = 100, shuffled: bool = Fa
     return spark.range(1, n + 1).select(F.col("id").alias("seq"), F.format_string("key-%012d", number).cast("binary").alias("key"), F.lit(1).cast("tinyint").alias("kind"), record_value(F.col("id"), value_size).alias("value"))
 
 
-def requests(spark: SparkSession, workload: str, n: int, records: int, seed: int = 7) -> DataFrame:
-    """The requests of a YCSB run: i, op, key, n_scan; inserts take new records."""
+def uniform(u: Column, n: int) -> Column:
+    """A number from 0 to n - 1 from a uniform draw, all alike."""
+    return F.least(F.floor(u * n).cast("long"), F.lit(n - 1).cast("long"))
+
+
+def latest(u: Column, hi: Column, n: int, theta: float = THETA) -> Column:
+    """A number below ``hi``, the newest the likelier: ``n`` numbers back at most."""
+    return hi - 1 - zipfian(u, n, theta) % hi
+
+
+def requests(spark: SparkSession, workload: str, n: int, records: int, seed: int = 7, value_size: int = 100) -> DataFrame:
+    """The requests of a YCSB run: i, op, key, n_scan, value. Inserts take the next record each, and the newest are those before a request."""
     rows = spark.range(n).select(F.col("id").alias("i"), F.floor(F.rand(seed) * 100).alias("draw"), F.rand(seed + 1).alias("u"), (F.floor(F.rand(seed + 2) * MAX_SCAN) + 1).cast("int").alias("n_scan"))
     rows = rows.withColumn("op", op_for(workload, F.col("draw")))
-    z = zipfian(F.col("u"), records)
-    at = F.lit(records - 1).cast("long") - z if MIXES[workload][1] == "latest" else z
-    at = F.when(F.col("op") == "insert", F.lit(records).cast("long") + F.col("i")).otherwise(at)
-    return rows.select("i", "op", user_key(at).cast("binary").alias("key"), "n_scan")
+    shares, picker = MIXES[workload]
+    hi = F.lit(records).cast("long")
+    if "insert" in shares:
+        rows = running_total(rows.withColumn("_new", (F.col("op") == "insert").cast("long")), "i", "_new", "_taken")
+        hi = hi + F.col("_taken")
+    at = latest(F.col("u"), hi, records) if picker == "latest" else zipfian(F.col("u"), records)
+    at = F.when(F.col("op") == "insert", hi).otherwise(at)
+    return rows.select("i", "op", user_key(at).cast("binary").alias("key"), "n_scan", record_value(F.col("i"), value_size).alias("value"))

@@ -54,6 +54,33 @@ def quorum_index(matches: DataFrame, by: list[str]) -> DataFrame:
     return matches.groupBy(*by).agg(F.element_at(ranked, (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int")).alias("commit_index"))
 
 
+def commit_index(matches: DataFrame, entries: DataFrame, leaders: DataFrame) -> DataFrame:
+    """group_id and commit_index: what a majority has reached, if that entry is of the leader's own term, else what was committed.
+
+    ``matches``: group_id, match_index of each voter; ``entries``: group_id, log_index, term; ``leaders``: group_id, term, committed.
+    """
+    reached = quorum_index(matches, ["group_id"]).withColumnRenamed("commit_index", "reached")
+    terms = entries.select("group_id", F.col("log_index").alias("reached"), F.col("term").alias("entry_term"))
+    met = leaders.join(reached, "group_id", "left").join(terms, ["group_id", "reached"], "left")
+    forward = (F.col("reached") > F.col("committed")) & (F.col("entry_term") == F.col("term"))
+    return met.select("group_id", F.when(forward, F.col("reached")).otherwise(F.col("committed")).alias("commit_index"))
+
+
+def double_votes(votes: DataFrame) -> DataFrame:
+    """Nodes that voted for more than one candidate in a term: node, term, candidates. ``votes``: node, term, candidate."""
+    return votes.groupBy("node", "term").agg(F.count_distinct("candidate").alias("candidates")).where("candidates > 1")
+
+
+def overlapping_changes(changes: DataFrame) -> DataFrame:
+    """Changes of members that were proposed while the one before was not applied: group_id, log_index, previous_index.
+
+    ``changes``: group_id, log_index, applied (the index applied when it was proposed). A group has few changes.
+    """
+    w = Window.partitionBy("group_id").orderBy("log_index")
+    seen = changes.withColumn("previous_index", F.lag("log_index").over(w))
+    return seen.where("previous_index > applied").select("group_id", "log_index", "previous_index")
+
+
 def reached_epoch(nodes: DataFrame, epoch: int) -> DataFrame:
     """How many nodes hold the map of an epoch or a later one."""
     return nodes.agg(F.count_if(F.col("epoch") >= epoch).alias("reached"), F.count(F.lit(1)).alias("nodes"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,9 @@ def rotation_pick(files: DataFrame, level: int, after: bytes | None) -> DataFram
     return files.where(F.col("level") == level).orderBy(passed, "smallest").limit(1)
 
 
-def key_bounds(files: DataFrame) -> DataFrame:
-    return files.agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))
+def key_bounds(files: DataFrame, *by: str) -> DataFrame:
+    """The key range of files, of all or of each group."""
+    return files.groupBy(*by).agg(F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))
 
 
 def overlapping(files: DataFrame, others: DataFrame) -> DataFrame:
@@ -52,6 +55,22 @@ def overlapping(files: DataFrame, others: DataFrame) -> DataFrame:
     return files.join(o, (F.col("smallest") <= F.col("_high")) & (F.col("largest") >= F.col("_low"))).select("file_num", "other_num")
 
 
+def pick_compaction(files: DataFrame, pointers: Mapping[int, bytes] | None = None) -> DataFrame:
+    """What to compact next: role (input or next), level, file_num; no row if no level calls.
+
+    The level by score; all of level 0, or the file after the level's pointer (the smallest key of its
+    last pick); and the files of the next level that the inputs' key range meets. The level is one number
+    on the driver, the rest stays in the plan.
+    """
+    picked = pick_level(level_scores(files)).select("level").first()
+    level = -1 if picked is None else picked.level
+    inputs = files.where(F.col("level") == 0) if level == 0 else rotation_pick(files, level, (pointers or {}).get(level))
+    span = key_bounds(inputs).select(F.lit("inputs").alias("file_num"), "smallest", "largest")
+    below = files.where(F.col("level") == level + 1)
+    met = below.join(overlapping(span, below).select(F.col("other_num").alias("file_num")).distinct(), "file_num", "left_semi") if level >= 0 else below.where("false")
+    return inputs.select(F.lit("input").alias("role"), "level", "file_num").unionByName(met.select(F.lit("next").alias("role"), "level", "file_num"))
+
+
 def held_below(keys: DataFrame, ranges: DataFrame) -> DataFrame:
     """The rows of ``keys`` whose key lies in one of ``ranges`` (smallest, largest).
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvlake.model import DELETE, MAX_BATCH_BYTES, PUT, RESERVED_PREFIX
+from kvlake.plans.lineage import cut
 
 #: Log positions summed up together before the global running sum.
 RANGE = 1 << 16
@@ -25,6 +26,17 @@ def running_total(df: DataFrame, order: str, amount: str, out: str) -> DataFrame
     return ranged.withColumn("_within", within).join(totals, "_range").withColumn(out, (F.col("_before") + F.col("_within")).cast("long")).drop("_range", "_within", "_before")
 
 
+def number_by_key(rows: DataFrame, next_seq: int) -> DataFrame:
+    """Add ``seq``, from ``next_seq`` on in key order, and ``total``, the number of rows. Keys are dealt in ranges, counted, and numbered within."""
+    dealt = cut(rows.repartitionByRange("key").withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy(F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    ends = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_of", F.coalesce(F.sum("_n").over(ends), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("key")) - 1
+    met = dealt.withColumn("_nth", nth).join(counts, F.col("_part") == F.col("_of"))
+    return met.withColumn("seq", (F.col("_before") + F.col("_nth") + next_seq).cast("long")).drop("_part", "_of", "_before", "_nth")
+
+
 def put(seq: Column, key: Column, value: Column) -> list[Column]:
     """Columns of a put; a null value is an empty one."""
     return [seq.alias("seq"), key.alias("key"), F.lit(PUT).cast("tinyint").alias("kind"), F.coalesce(value, F.lit(b"")).alias("value")]
@@ -50,10 +62,10 @@ def encoded_bytes(ops: Column) -> Column:
     return F.aggregate(ops, (8 + _number_bytes(F.size(ops))).cast("long"), lambda n, op: n + size(op))
 
 
-def batch_faults(batches: DataFrame) -> DataFrame:
+def batch_faults(batches: DataFrame, most_bytes: int = MAX_BATCH_BYTES) -> DataFrame:
     """Add ``fault``: why a batch is refused as a whole (too_large, reserved_key, bad_kind, bad_value), or null."""
     fault = (
-        F.when(encoded_bytes(F.col("ops")) > MAX_BATCH_BYTES, F.lit("too_large"))
+        F.when(encoded_bytes(F.col("ops")) > most_bytes, F.lit("too_large"))
         .when(F.exists("ops", lambda op: F.startswith(op["key"], F.lit(RESERVED_PREFIX))), F.lit("reserved_key"))
         .when(F.exists("ops", lambda op: ~op["kind"].isin(DELETE, PUT)), F.lit("bad_kind"))
         .when(F.exists("ops", lambda op: (op["kind"] == DELETE) & op["value"].isNotNull()), F.lit("bad_value"))

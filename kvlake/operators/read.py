@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvlake.model import PUT, RESERVED_PREFIX
+from kvlake.plans.lineage import cut
 
 
 def key_range(start: bytes | None, end: bytes | None, empty_end_is_open: bool = False) -> Column:
@@ -112,3 +113,28 @@ def asof_join(probes: DataFrame, ops: DataFrame) -> DataFrame:
     w = Window.partitionBy("key").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
     met = a.unionByName(b).withColumn("version", F.last("version", ignorenulls=True).over(w))
     return met.where("side = 1").select("probe_id", "key", F.col("at").alias("at_seq"), "version.seq", "version.kind", "version.value")
+
+
+#: Neighbouring keys that a scan of many reads together.
+SCAN_BLOCK = 128
+
+
+def multi_scan(ops: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The first n live pairs from a key on for each scan (scan_id, start, n): scan_id, place (from 1), key, value.
+
+    Live keys and starts are dealt in one order and numbered; a scan is then a run of numbers and meets
+    the keys by blocks of them: an equi-join, whatever the scans.
+    """
+    live = latest_live(ops).select("key", "value")
+    starts = wanted.select("scan_id", F.col("start").alias("key"), F.col("n").cast("long").alias("n"))
+    both = live.withColumn("held", F.lit(1)).unionByName(starts.withColumn("held", F.lit(0)), allowMissingColumns=True)
+    dealt = cut(both.repartitionByRange("key").withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy(F.col("_part").alias("_of")).agg(F.sum("held").alias("_n"))
+    counts = counts.select("_of", F.coalesce(F.sum("_n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.coalesce(F.sum("held").over(Window.partitionBy("_part").orderBy("key", "held").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = dealt.withColumn("_within", within).join(counts, F.col("_part") == F.col("_of")).withColumn("at", F.col("_before") + F.col("_within"))
+    keys = at.where("held = 1").select(F.expr(f"at div {SCAN_BLOCK}").alias("block"), F.col("at").alias("key_at"), "key", "value")
+    blocks = F.expr(f"sequence(at div {SCAN_BLOCK}, (at + n - 1) div {SCAN_BLOCK})")
+    scans = at.where("held = 0 and n > 0").select("scan_id", F.col("at").alias("first"), "n", F.explode(blocks).alias("block"))
+    met = scans.join(keys, "block").where("key_at >= first and key_at < first + n")
+    return met.select("scan_id", (F.col("key_at") - F.col("first") + 1).alias("place"), "key", "value")

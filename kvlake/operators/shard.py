@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvlake.functions.hashing import slot
-from kvlake.model import SLOTS
+from kvlake.model import DELETE, SLOTS
 
+from .log import number_by_key
 from .read import key_range, latest_live
 
 
@@ -19,8 +20,12 @@ def initial_map(spark: SparkSession, groups: list[int]) -> DataFrame:
 
 
 def with_slot(shards: DataFrame, at: int, group_id: int) -> DataFrame:
-    """Move a slot and end its migration; the epoch goes up."""
-    here = F.col("slot") == at
+    return with_slots(shards, [at], group_id)
+
+
+def with_slots(shards: DataFrame, slots: list[int], group_id: int) -> DataFrame:
+    """Move slots and end their migration; the epoch goes up."""
+    here = F.col("slot").isin(slots)
     return shards.select(
         (F.col("epoch") + 1).alias("epoch"),
         "slot",
@@ -110,20 +115,46 @@ def copy_cursor(copied: DataFrame, *by: str) -> DataFrame:
     return copied.groupBy(*by).agg(F.max("key").alias("last_key"), F.count(F.lit(1)).alias("copied"))
 
 
+def clear_slots(placed: DataFrame, slots: list[int], group_id: int, next_seq: int) -> DataFrame:
+    """Tombstones for the live pairs that a group has of slots, numbered from ``next_seq`` in key order."""
+    live = latest_live(placed.where((F.col("group_id") == group_id) & slot(F.col("key")).isin(slots))).select("key")
+    numbered = number_by_key(live, next_seq)
+    return numbered.select(F.lit(group_id).cast("long").alias("group_id"), "seq", "key", F.lit(DELETE).cast("tinyint").alias("kind"), F.lit(None).cast("binary").alias("value"))
+
+
 def clear_slot(placed: DataFrame, at: int, group_id: int, next_seq: int) -> DataFrame:
-    """Tombstones for a slot's live pairs in a group, numbered from ``next_seq`` in key order. One slot is a 256th of the keys."""
-    live = latest_live(placed.where((F.col("group_id") == group_id) & (slot(F.col("key")) == at))).select("key")
-    nth = F.row_number().over(Window.orderBy("key"))
-    return live.select(
-        F.lit(group_id).cast("long").alias("group_id"), (nth + (next_seq - 1)).cast("long").alias("seq"), "key", F.lit(0).cast("tinyint").alias("kind"), F.lit(None).cast("binary").alias("value")
-    )
+    return clear_slots(placed, [at], group_id, next_seq)
+
+
+def migrate_slots(placed: DataFrame, shards: DataFrame, slots: list[int], source: int, target: int, next_seq: int) -> tuple[DataFrame, DataFrame]:
+    """Copy, flip, clear: the placed ops and the map afterwards.
+
+    Copies are new puts, numbered from ``next_seq`` (above all numbers so far), and the source's tombstones
+    follow them, so that a slot can move back. What the target holds of the slots before is stray: copies
+    are newer, and pairs that the source lacks get tombstones. Nothing changes before the
+    result is used; freeze writes with ``with_migrating`` meanwhile, and lift that should the move fail.
+    Slots that are the target's already are only cleared, whatever the source still holds of them; a slot
+    of a third group is an error.
+    """
+    if source == target:
+        raise ValueError(f"group {source} is source and target")
+    owners = {r.slot: r.group_id for r in shards.where(F.col("slot").isin(slots)).select("slot", "group_id").collect()}  # 256 rows at most
+    if strange := [s for s in slots if owners.get(s) not in (source, target)]:
+        raise ValueError(f"slots {strange} are not group {source}'s")
+    columns = ["group_id", "seq", "key", "kind", "value"]
+    placed = placed.select(columns)
+    moving = [s for s in slots if owners[s] == source]
+    copies = copy_slots(placed, moving, source, target).select("key", "kind", "value")
+    strays = copy_slots(placed, moving, target, target).select("key").join(copies.select("key"), "key", "left_anti")
+    gone = strays.select("key", F.lit(DELETE).cast("tinyint").alias("kind"), F.lit(None).cast("binary").alias("value"))
+    moved = number_by_key(copies.unionByName(gone), next_seq).withColumn("group_id", F.lit(target).cast("long"))
+    cleared = moved.where(F.col("kind") != DELETE).withColumn("group_id", F.lit(source).cast("long")).withColumn("seq", F.col("seq") + F.col("total")).withColumn("kind", F.lit(DELETE).cast("tinyint")).withColumn("value", F.lit(None).cast("binary"))
+    after = placed.unionByName(moved.select(columns)).unionByName(cleared.select(columns))
+    if left := [s for s in slots if s not in moving]:
+        after = after.unionByName(clear_slots(placed, left, source, next_seq).select(columns))
+    return after, with_slots(shards, slots, target)
 
 
 def migrate_slot(placed: DataFrame, shards: DataFrame, at: int, source: int, target: int, next_seq: int) -> tuple[DataFrame, DataFrame]:
-    """Freeze, copy, flip, clear: the placed ops and the map afterwards. Done again it changes no live pair."""
-    frozen = with_migrating(shards, at)
-    copied = copy_slot(placed, at, source, target)
-    flipped = with_slot(frozen, at, target)
-    columns = ["group_id", "seq", "key", "kind", "value"]
-    after = placed.select(columns).unionByName(copied.select(columns)).unionByName(clear_slot(placed, at, source, next_seq).select(columns))
-    return after, flipped
+    """``migrate_slots`` of one slot; done again it changes no live pair."""
+    return migrate_slots(placed, shards, [at], source, target, next_seq)

@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to ``spark.checkpoint.dir`` and go on from there; in local mode without one, to a temporary folder."""
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, for a table that a query writes and reads again."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, set if it was not."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()

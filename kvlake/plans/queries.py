@@ -52,14 +52,20 @@ _PLACED = f"""{_OPS}, {_SLOTS}, placed AS (SELECT [10, 20, 30, 40][u % 4 + 1] AS
 _MAP = "m AS (SELECT 1 AS epoch, range::INT AS slot, [10, 20, 30, 40][range % 4 + 1] AS group_id, false AS migrating FROM range(256))"
 
 
-def query(sql: str | None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
+def registrar(queries: dict[str, Query], sql_of: dict[str, str]) -> Callable[[str], Callable[[Query], Query]]:
+    """A decorator that files a query under its name, with its SQL."""
 
-    return register
+    def query(sql: str) -> Callable[[Query], Query]:
+        def register(f: Query) -> Query:
+            queries[f.__name__], sql_of[f.__name__] = f, sql
+            return f
+
+        return register
+
+    return query
+
+
+query = registrar(QUERIES, ORACLE_SQL)
 
 
 def _text(df: DataFrame, *columns: str) -> DataFrame:
@@ -129,11 +135,14 @@ def version_history(spark, sf_dir):
     return _text(read.versions(views.ops_from_events(spark, sf_dir)).select("key", "seq", "kind", F.coalesce("next_seq", F.lit(-1)).alias("next_seq")), "key")
 
 
-@query(f"""WITH {_OPS}, probes AS (SELECT o_orderkey AS probe_id, 'user:' || lpad((o_custkey % 200)::VARCHAR, 8, '0') AS key, o_orderkey % 10000 AS at_seq FROM orders)
+@query(f"""WITH {_OPS}, probes AS (SELECT o_orderkey AS probe_id, 'user:' || lpad(o_custkey::VARCHAR, 8, '0') AS key, o_orderkey % (SELECT max(seq) + 1 FROM ops) AS at_seq FROM orders)
     SELECT p.probe_id, p.key, p.at_seq, coalesce(o.seq, 0) AS seq, coalesce(o.kind, -1)::TINYINT AS kind, o.value FROM probes p ASOF LEFT JOIN ops o ON p.key = o.key AND p.at_seq >= o.seq""")
 def asof_join(spark, sf_dir):
-    probes = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("probe_id"), views.user_key(F.col("o_custkey") % 200).alias("key"), (F.col("o_orderkey") % 10000).alias("at_seq"))
-    met = read.asof_join(probes, views.ops_from_events(spark, sf_dir))
+    """Probes of all customers, at positions all over the log."""
+    ops = views.ops_from_events(spark, sf_dir)
+    end = ops.agg((F.max("seq") + 1).alias("end"))
+    probes = views.table(spark, sf_dir, "orders").join(F.broadcast(end)).select(F.col("o_orderkey").alias("probe_id"), views.user_key(F.col("o_custkey")).alias("key"), (F.col("o_orderkey") % F.col("end")).alias("at_seq"))
+    met = read.asof_join(probes, ops)
     return _text(met.withColumn("seq", F.coalesce("seq", F.lit(0))).withColumn("kind", F.coalesce("kind", F.lit(-1)).cast("tinyint")), "key", "value")
 
 
@@ -205,10 +214,10 @@ def shard_map_adopt(spark, sf_dir):
     return shard.adopt(m.unionByName(shard.with_slot(m, 9, 40)).unionByName(m))
 
 
-@query(f"WITH {_MAP} SELECT group_id::BIGINT AS group_id, count(*) AS n, min(slot) AS first_slot, max(slot) AS last_slot FROM m GROUP BY group_id")
+@query(f"WITH {_MAP} SELECT group_id::BIGINT AS group_id, string_agg(slot::VARCHAR, ' ' ORDER BY slot) AS slots FROM m GROUP BY group_id")
 def slots_per_group(spark, sf_dir):
     s = shard.slots_of(shard.initial_map(spark, GROUPS))
-    return s.select("group_id", F.size("slots").cast("long").alias("n"), F.element_at("slots", 1).alias("first_slot"), F.element_at("slots", -1).alias("last_slot"))
+    return s.select("group_id", F.array_join(F.col("slots").cast("array<string>"), " ").alias("slots"))
 
 
 @query(f"""WITH {_PLACED}, own AS (SELECT p.* FROM placed p JOIN slots s USING (key) WHERE p.group_id = [10, 20, 30, 40][s.slot % 4 + 1]),
@@ -230,24 +239,6 @@ def copy_slot_resume(spark, sf_dir):
     return _text(shard.copy_cursor(copied, "slot"), "last_key")
 
 
-_ONE_SLOT = 131
-
-
-@query(f"WITH {_NEWEST}, {_SLOTS} SELECT count(*) AS live, 0::BIGINT AS only_before, 0::BIGINT AS only_after, 0::BIGINT AS left_behind FROM newest WHERE kind = 1")
-def migrate_preserves_scan(spark, sf_dir):
-    """All live pairs in their owners' groups, before and after a slot moves."""
-    m = shard.initial_map(spark, GROUPS)
-    ops = views.ops_from_events(spark, sf_dir)
-    placed = shard.route(ops, m).withColumnRenamed("owner", "group_id").select("group_id", "seq", "key", "kind", "value")
-    source = GROUPS[_ONE_SLOT % 4]
-    after, flipped = shard.migrate_slot(placed, m, _ONE_SLOT, source, 40 if source != 40 else 10, 10_000_000)
-    a = read.latest_live(shard.owned(placed, m)).select("key", "value", F.lit(1).alias("before"), F.lit(0).alias("after"))
-    b = read.latest_live(shard.owned(after, flipped)).select("key", "value", F.lit(0).alias("before"), F.lit(1).alias("after"))
-    c = shard.group_scan(after.where(slot(F.col("key")) == _ONE_SLOT), source).select("key", "value", F.lit(0).alias("before"), F.lit(0).alias("after"))
-    sides = a.unionByName(b).unionByName(c).groupBy("key", "value").agg(F.sum("before").alias("x"), F.sum("after").alias("y"), F.count_if(F.col("before") + F.col("after") == 0).alias("z"))
-    return sides.agg(F.sum("y").alias("live"), F.sum(F.greatest(F.col("x") - F.col("y"), F.lit(0))).alias("only_before"), F.sum(F.greatest(F.col("y") - F.col("x"), F.lit(0))).alias("only_after"), F.sum("z").alias("left_behind"))
-
-
 @query(f"""WITH {_OPS}, {_SLOTS}, w AS (SELECT seq, key, [10, 20, 30, 40][seq % 4 + 1] AS routed FROM ops)
     SELECT w.seq, w.key, CASE WHEN s.slot % 2 = 1 AND s.slot % 4 = 3 THEN 'unassigned' WHEN s.slot IN (4, 131, 209, 64, 20, 36) THEN 'migrating' WHEN w.routed <> [10, 20, 30, 40][s.slot % 4 + 1] THEN 'wrong_group' ELSE 'ok' END AS verdict
     FROM w JOIN slots s USING (key)""")
@@ -340,11 +331,17 @@ def obsolete_files(spark, sf_dir):
     return compact.obsolete_files(files, compact.live_files(edits), files.where("file_num % 2 = 1"))
 
 
-@query(f"WITH {_EDITS}, x AS (SELECT edit_id, level, file_num, 'already_there' AS fault FROM (SELECT edit_id + 300000000 AS edit_id, level, file_num FROM edits WHERE edit_id < 100000000 AND file_num % 3 <> 0)) SELECT * FROM x")
+@query(f"""WITH {_EDITS}, more AS (SELECT edit_id + 300000000 AS edit_id, 'add' AS action, level, file_num FROM edits WHERE edit_id < 100000000 AND file_num % 3 <> 0
+    UNION ALL SELECT edit_id + 400000000, 'delete', level, file_num FROM edits WHERE edit_id < 100000000 AND file_num % 2 = 0 UNION ALL SELECT edit_id, action, level, file_num FROM edits),
+    w AS (SELECT *, coalesce(lag(action) OVER (PARTITION BY level, file_num ORDER BY edit_id), 'delete') AS was FROM more)
+    SELECT edit_id, level, file_num, CASE action WHEN 'add' THEN 'already_there' ELSE 'not_there' END AS fault FROM w WHERE action = was""")
 def edit_faults(spark, sf_dir):
+    """Files added twice, and files deleted that are gone."""
     edits = views.edits_from_orders(spark, sf_dir)
-    again = edits.where("edit_id < 100000000 and file_num % 3 <> 0").withColumn("edit_id", F.col("edit_id") + 300_000_000)
-    return compact.edit_faults(edits.unionByName(again))
+    first = edits.where("edit_id < 100000000")
+    again = first.where("file_num % 3 <> 0").withColumn("edit_id", F.col("edit_id") + 300_000_000)
+    gone = first.where("file_num % 2 = 0").withColumn("edit_id", F.col("edit_id") + 400_000_000).withColumn("action", F.lit("delete"))
+    return compact.edit_faults(edits.unionByName(again).unionByName(gone))
 
 
 @query("""WITH l AS (SELECT event_type AS op, round(value * 1000)::BIGINT AS nanos FROM events), s AS (SELECT op, list_sort(list(nanos)) AS v, count(*) AS ops FROM l GROUP BY op)

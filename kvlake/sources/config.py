@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, fields, replace
 
 #: Fixed values.
 LOG_LEVELS = ("debug", "info", "warn", "error")
@@ -76,8 +76,8 @@ class Node:
 
 @dataclass(frozen=True)
 class ClusterConfig:
-    groups: list[int] = field(default_factory=list)
-    nodes: list[Node] = field(default_factory=list)
+    groups: tuple[int, ...] = ()
+    nodes: tuple[Node, ...] = ()
 
     def sorted_groups(self) -> list[int]:
         return sorted(self.groups)
@@ -85,46 +85,36 @@ class ClusterConfig:
     def peers(self) -> dict[int, str]:
         return {n.id: n.raft for n in self.nodes}
 
+    def settings(self) -> list[tuple[str, str, object]]:
+        """(kind, place, value) of each single setting: values of one kind must be set and differ."""
+        flat: list[tuple[str, str, object]] = [("group", f"groups[{i}]", g) for i, g in enumerate(self.groups)]
+        kinds = {"id": "node", "raft": "address", "client": "address"}
+        return flat + [(kind, f"nodes[{i}].{name}", getattr(n, name)) for i, n in enumerate(self.nodes) for name, kind in kinds.items()]
+
+    def faults(self) -> list[str]:
+        """All that is wrong, each with its places; empty for settings that can stand."""
+        flat = self.settings()
+        held: dict[tuple[str, object], list[str]] = {}
+        for kind, place, value in flat:
+            if value:
+                held.setdefault((kind, value), []).append(place)
+        lists = {"groups": self.groups, "nodes": self.nodes}
+        return [
+            *(f"{name}: empty" for name, values in lists.items() if not values),
+            *(f"nodes: {n} of them, which two equal halves could split" for n in [len(self.nodes)] if n and n % 2 == 0),
+            *(f"{place}: not set" for _, place, value in flat if not value),
+            *(f"{', '.join(places)}: one {kind} {value!r} for all" for (kind, value), places in held.items() if len(places) > 1),
+        ]
+
 
 def cluster_config(text: str) -> ClusterConfig:
+    """A cluster's settings; an error lists all faults."""
     found = parse(text)
     _known(found, ClusterConfig)
-    nodes = []
-    for i, n in enumerate(found.get("nodes") or []):
+    nodes = found.get("nodes") or []
+    for i, n in enumerate(nodes):
         _known(n, Node, f"nodes[{i}].")
-        nodes.append(Node(**n))
-    config = ClusterConfig(list(found.get("groups") or []), nodes)
-    fault = cluster_fault(config)
-    if fault:
-        raise ConfigError(f"config: {fault}")
+    config = ClusterConfig(tuple(found.get("groups") or ()), tuple(Node(**n) for n in nodes))
+    if faults := config.faults():
+        raise ConfigError("config: " + "; ".join(faults))
     return config
-
-
-def cluster_fault(config: ClusterConfig) -> str | None:
-    """What is wrong with a cluster's settings, the first fault."""
-    if not config.groups:
-        return "groups must list at least one group id"
-    for i, g in enumerate(config.groups):
-        if g == 0:
-            return f"groups[{i}] must be non-zero"
-        if g in config.groups[:i]:
-            return f"groups[{i}]: duplicate group id {g}"
-    n = len(config.nodes)
-    if not n:
-        return "nodes must list at least one node"
-    if n % 2 == 0:
-        return f"nodes has {n} entries; an even cluster size has no strict majority, use an odd count"
-    used: dict[str, str] = {}
-    for i, node in enumerate(config.nodes):
-        if node.id == 0:
-            return f"nodes[{i}].id must be non-zero"
-        if any(node.id == other.id for other in config.nodes[:i]):
-            return f"nodes[{i}]: duplicate node id {node.id}"
-        for name in ("raft", "client"):
-            address = getattr(node, name)
-            if not address:
-                return f"nodes[{i}].{name} address is required"
-            if address in used:
-                return f"nodes[{i}].{name} {address!r} already used by {used[address]}"
-            used[address] = f"nodes[{i}].{name}"
-    return None

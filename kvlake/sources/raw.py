@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import struct
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from kvlake.functions.hashing import crc32c_table
 from kvlake.model import DELETE, LEVELS, PUT, SLOTS
+from kvlake.operators.log import encoded_bytes, running_total
 
 # Fixed values of the formats.
 TABLE_MAGIC, TABLE_VERSION, FOOTER_BYTES = 0xBA5A17557AB1E000, 1, 48
@@ -107,8 +109,13 @@ def sized_bytes(value: bytes) -> bytes:
 
 
 def frame(payload: bytes) -> bytes:
-    size = struct.pack("<I", len(payload))
-    return struct.pack("<I", crc32c_all([size + payload])[0]) + size + payload
+    return frames([payload])
+
+
+def frames(payloads: list[bytes]) -> bytes:
+    """Records, one after another; their checksums are made side by side."""
+    sized = [struct.pack("<I", len(p)) + p for p in payloads]
+    return b"".join(struct.pack("<I", crc) + body for crc, body in zip(crc32c_all(sized), sized, strict=True))
 
 
 def unframe(data: bytes) -> tuple[list[bytes], int]:
@@ -333,6 +340,44 @@ def parse_table(data: bytes) -> Table:
     return Table(out, data[bloom_at : bloom_at + bloom_size])
 
 
+class OpenTable:
+    """A table file read by parts: the footer and the index first, then the blocks that are asked for, each checked when read."""
+
+    def __init__(self, data: bytes):
+        if len(data) < FOOTER_BYTES or int.from_bytes(data[-8:], "little") != TABLE_MAGIC or crc32c_all([data[-FOOTER_BYTES:-12]])[0] != int.from_bytes(data[-12:-8], "little"):
+            raise Corrupt("no table")
+        self.data = data
+        bloom_at, bloom_size, index_at, index_size, version = struct.unpack("<QQQQI", data[-FOOTER_BYTES:-12])
+        if version != TABLE_VERSION:
+            raise Corrupt(f"version {version}")
+        self.bloom = self.block(bloom_at, bloom_size)
+        self.lasts: list[bytes] = []
+        self.handles: list[tuple[int, int]] = []
+        for last, handle in _entries(self.block(index_at, index_size)):
+            c = Cursor(handle)
+            self.lasts.append(split_key(last)[0])
+            self.handles.append((c.number(), c.number()))
+
+    def block(self, at: int, size: int) -> bytes:
+        body = self.data[at : at + size]
+        if at + size + 4 > len(self.data) - FOOTER_BYTES or crc32c_all([body])[0] != int.from_bytes(self.data[at + size : at + size + 4], "little"):
+            raise Corrupt("block")
+        return body
+
+    def from_key(self, start: bytes) -> Iterator[tuple[bytes, int, int, bytes | None]]:
+        """Entries (key, seq, kind, value) from a key on: blocks that end before it are not read."""
+        for at, size in self.handles[bisect_left(self.lasts, start) :]:
+            for k, value in _entries(self.block(at, size)):
+                key, seq, kind = split_key(k)
+                if key >= start:
+                    yield key, seq, kind, value if kind == PUT else None
+
+    def newest(self, key: bytes) -> tuple[bytes, int, int, bytes | None] | None:
+        """The newest entry of a key, or None; the bloom filter spares most blocks of absent keys."""
+        first = next(self.from_key(key), None) if may_contain(self.bloom, key) else None
+        return first if first is not None and first[0] == key else None
+
+
 # -- manifest and shard map
 
 
@@ -361,6 +406,23 @@ def decode_edit(payload: bytes) -> list[dict]:
     return rows
 
 
+def encode_edit(rows: list[dict]) -> bytes:
+    """One edit of rows as ``decode_edit`` gives them."""
+    tags = {"log_number": TAG_LOG, "next_file_num": TAG_NEXT_FILE, "last_seq": TAG_LAST_SEQ}
+    out = b""
+    for row in rows:
+        action = row["action"]
+        if action in tags:
+            out += number_bytes(tags[action]) + number_bytes(row["number"])
+            continue
+        if not 0 <= row["level"] < LEVELS:
+            raise ValueError(f"level {row['level']}")
+        out += number_bytes(TAG_ADD if action == "add" else TAG_DELETE) + number_bytes(row["level"]) + number_bytes(row["file_num"])
+        if action == "add":
+            out += number_bytes(row["size"]) + b"".join(sized_bytes(internal_key(row[end], 0, PUT)) for end in ("smallest", "largest"))
+    return out
+
+
 def encode_shard_map(epoch: int, slots: list[tuple[int, bool]]) -> bytes:
     """``slots``: (group, migrating) of each slot."""
     marks = sum(1 << s for s, (_, migrating) in enumerate(slots) if migrating)
@@ -498,6 +560,11 @@ def read_log(spark: SparkSession, folder: str) -> DataFrame:
     faults += [f"segment {r.segment:06d}: {r.fault}" for r in segment_faults(segments(spark, folder), numbers[-1]).where("fault = 'corrupt'").limit(5).collect()]
     if faults:
         raise Corrupt("; ".join(faults[:5]))
+    return ops_of_segments(_files(spark, folder, "*.wal").select("content"))
+
+
+def ops_of_segments(files: DataFrame) -> DataFrame:
+    """The ops of the clean start of each segment (content)."""
 
     def ops(content: bytes) -> Iterator[tuple]:
         for payload in unframe(content)[0]:
@@ -507,14 +574,45 @@ def read_log(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(1).to_pylist():
+            for content in batch.column(0).to_pylist():
                 yield from _op_batches(ops(content), [])
 
-    return _files(spark, folder, "*.wal").mapInArrow(run, _OPS)
+    return files.select("content").mapInArrow(run, _OPS)
+
+
+def log_segments(numbered: DataFrame, segment_bytes: int) -> DataFrame:
+    """Log files of numbered batches (batch_id, base_seq, n_ops, ops): segment from 1, batches, first_seq, last_seq, content.
+
+    The log is cut where its bytes pass a multiple of ``segment_bytes``, so a segment holds about that many,
+    or one larger batch. Batches without ops are not written.
+    """
+
+    def build(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("base_seq").select(["segment", "base_seq", "n_ops", "ops"]).to_pylist()
+        content = frames([encode_batch(r["base_seq"], [(o["kind"], o["key"], o["value"]) for o in r["ops"]]) for r in rows])
+        first, last = rows[0], rows[-1]
+        return pa.Table.from_pylist([{"segment": first["segment"], "batches": len(rows), "first_seq": first["base_seq"], "last_seq": last["base_seq"] + last["n_ops"] - 1, "content": content}])
+
+    sized = running_total(numbered.where("n_ops > 0").withColumn("_size", encoded_bytes(F.col("ops")) + 8), "batch_id", "_size", "_passed")
+    placed = sized.withColumn("_cut", F.expr(f"_passed div {segment_bytes}"))
+    cuts = placed.select("_cut").distinct().select(F.col("_cut").alias("_of"), F.row_number().over(Window.orderBy("_cut")).cast("long").alias("segment"))  # a row for each file
+    dealt = placed.join(cuts, F.col("_cut") == F.col("_of")).select("segment", "base_seq", "n_ops", "ops")
+    return dealt.groupBy("segment").applyInArrow(build, "segment bigint, batches bigint, first_seq bigint, last_seq bigint, content binary")
+
+
+def after_prune(segments: DataFrame, below: int) -> DataFrame:
+    """The segments left when those numbered below ``below`` are removed; the newest one never is."""
+    newest = segments.agg(F.max("segment").alias("_newest"))
+    return segments.join(F.broadcast(newest), (F.col("segment") >= below) | (F.col("segment") == F.col("_newest"))).drop("_newest")
 
 
 def read_tables(spark: SparkSession, path: str, pattern: str = "*.sst") -> DataFrame:
     """The ops of table files: file, seq, key, kind, value."""
+    return ops_of_tables(_files(spark, path, pattern))
+
+
+def ops_of_tables(files: DataFrame) -> DataFrame:
+    """The ops of table files (path, content): file, seq, key, kind, value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -525,22 +623,138 @@ def read_tables(spark: SparkSession, path: str, pattern: str = "*.sst") -> DataF
                     raise Corrupt(f"{name}: {e}") from e
                 yield from _op_batches(((seq, key, kind, value) for key, seq, kind, value in entries), [("file", name, pa.string())])
 
-    return _files(spark, path, pattern).mapInArrow(run, f"file string, {_OPS}")
+    return files.select("path", "content").mapInArrow(run, f"file string, {_OPS}")
+
+
+def seek_tables(files: DataFrame, start: bytes) -> DataFrame:
+    """The ops from a key on of table files (path, content); blocks before it are not read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield from _op_batches(((seq, key, kind, value) for key, seq, kind, value in OpenTable(content).from_key(start)), [("file", name, pa.string())])
+
+    return files.select("path", "content").mapInArrow(run, f"file string, {_OPS}")
+
+
+def look_up(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The newest version that each table file (path, content) has of the keys ``wanted``: file, seq, key, kind, value.
+
+    Each file gets the keys within its own bounds, once; bloom filters and indexes spare it most blocks.
+    """
+    bounds = files.select("path", "content").mapInArrow(_bounds, "path string, smallest binary, largest binary")
+    inside = wanted.select("key").distinct().join(bounds, (F.col("key") >= F.col("smallest")) & (F.col("key") <= F.col("largest"))).select("path", "key")
+
+    def find(keys: pa.Table, held: pa.Table) -> pa.Table:
+        found = []
+        for path, content in zip(held.column("path").to_pylist(), held.column("content").to_pylist(), strict=True):
+            table = OpenTable(content)
+            found += [(path, *hit) for key in keys.column("key").to_pylist() if (hit := table.newest(key))]
+        columns = list(zip(*found, strict=True)) or [()] * 5
+        kinds = (pa.string(), pa.binary(), pa.int64(), pa.int8(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "key", "seq", "kind", "value"])
+
+    out = inside.groupBy("path").cogroup(files.select("path", "content").groupBy("path")).applyInArrow(find, "file string, key binary, seq bigint, kind tinyint, value binary")
+    return out.select("file", "seq", "key", "kind", "value")
+
+
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths, first, last = batch.column(0).to_pylist(), [], []
+        for content in batch.column(1).to_pylist():
+            table = OpenTable(content)
+            first.append(next(table.from_key(b""), (None,))[0])
+            last.append(table.lasts[-1] if table.lasts else None)
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(first, pa.binary()), pa.array(last, pa.binary())], names=["path", "smallest", "largest"])
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Edits of a manifest file: edit_id, action, level, file_num, size, smallest, largest, number (a counter's value)."""
+    return edits_of(spark.read.format("binaryFile").load(path).select("content"))
+
+
+def edits_of(files: DataFrame) -> DataFrame:
+    """Edits of manifest files (content)."""
     schema = "edit_id bigint, action string, level int, file_num bigint, size bigint, smallest binary, largest binary, number bigint"
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(1).to_pylist():
+            for content in batch.column(0).to_pylist():
                 rows = [row | {"edit_id": i} for i, payload in enumerate(unframe(content)[0]) for row in decode_edit(payload)]
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    return files.select("content").mapInArrow(run, schema)
+
+
+def manifest_file(edits: DataFrame) -> DataFrame:
+    """A manifest (content) of edits (edit_id, action, level, file_num, size, smallest, largest, and number if there are counters), a record for each edit_id.
+
+    One file for a store: a row for each stored file and change, so one task writes it.
+    """
+
+    def build(group: pa.Table) -> pa.Table:
+        records: dict[int, list[dict]] = {}
+        for row in group.sort_by([("edit_id", "ascending"), ("action", "descending"), ("file_num", "ascending")]).to_pylist():
+            records.setdefault(row["edit_id"], []).append(row)
+        return pa.table({"content": pa.array([frames([encode_edit(rows) for rows in records.values()])], pa.binary())})
+
+    return edits.groupBy(F.lit(0).alias("of")).applyInArrow(build, "content binary")
+
+
+def rotated_manifest(live: DataFrame, counters: dict[str, int]) -> DataFrame:
+    """A fresh manifest (content) that says in one edit what a version is: its files and counters."""
+    spark = live.sparkSession
+    rows = live.select(F.lit(0).cast("long").alias("edit_id"), F.lit("add").alias("action"), "level", "file_num", "size", "smallest", "largest")
+    numbers = spark.createDataFrame([(0, name, value) for name, value in counters.items()], "edit_id long, action string, number long")
+    return manifest_file(rows.unionByName(numbers, allowMissingColumns=True))
+
+
+def map_files(maps: DataFrame) -> DataFrame:
+    """Encoded shard maps (content), one for each epoch: 256 rows each."""
+
+    def build(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("slot").to_pylist()
+        return pa.table({"content": pa.array([encode_shard_map(rows[0]["epoch"], [(r["group_id"], r["migrating"]) for r in rows])], pa.binary())})
+
+    return maps.groupBy("epoch").applyInArrow(build, "content binary")
+
+
+def maps_of(files: DataFrame) -> DataFrame:
+    """Shard maps of their files (content): epoch, slot, group_id, migrating."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                epoch, slots = decode_shard_map(content)
+                columns = ([epoch] * SLOTS, list(range(SLOTS)), [g for g, _ in slots], [m for _, m in slots])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["epoch", "slot", "group_id", "migrating"])
+
+    return files.select("content").mapInArrow(run, "epoch bigint, slot int, group_id bigint, migrating boolean")
+
+
+def entries_of_commands(commands: DataFrame) -> DataFrame:
+    """Commands (log_index, term, entry_type, client_id, client_seq, ops) as log entries with their encoded data; one without ops has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            data = [b"" if r["ops"] is None else encode_command(r["client_id"], r["client_seq"], [(o["kind"], o["key"], o["value"]) for o in r["ops"]]) for r in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], names=["log_index", "term", "entry_type", "data"])
+
+    return commands.select("log_index", "term", "entry_type", "client_id", "client_seq", "ops").mapInArrow(run, "log_index bigint, term bigint, entry_type tinyint, data binary")
+
+
+def bloom_hashes(rows: DataFrame) -> DataFrame:
+    """``key`` and its ``bloom_hash``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bloom_hash(k) for k in batch.column(0).to_pylist()], pa.int64())], names=["key", "bloom_hash"])
+
+    return rows.select("key").mapInArrow(run, "key binary, bloom_hash bigint")
 
 
 def read_replicas(spark: SparkSession, path: str) -> DataFrame:

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.model import OPS
-from kvlake.operators.read import as_of
+from kvlake.model import OPS, PUT
+from kvlake.operators.read import newest
 
 
 @dataclass(frozen=True)
@@ -44,9 +44,10 @@ def open_ops(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(OPS).parquet(path)
 
 
-def checkpoint(ops: DataFrame, seq: int, path: str, options: Options = Options()) -> None:
-    """Write the live view at a sequence number; the target must not exist."""
-    write_sorted(as_of(ops, seq).select("seq", "key", "kind", "value"), path, options)
+def checkpoint(ops: DataFrame, seq: int, path: str, options: Options = Options(), partitions: int | None = None) -> None:
+    """Write the newest pair of every key at a sequence number, bookkeeping keys too; the target must not exist."""
+    live = newest(ops.where(F.col("seq") <= seq)).where(F.col("kind") == PUT)
+    write_sorted(live.select("seq", "key", "kind", "value"), path, options, partitions)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -57,25 +58,23 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def set_current(spark: SparkSession, root: str, name: str) -> None:
-    """Point ``root/CURRENT`` at a version: written aside, then renamed over, so readers see the old or the new one."""
+    """Point ``root/CURRENT`` at a version: written aside, then renamed over in one step, so readers see the old or the new one."""
     fs, at, jvm = _file_system(spark, f"{root}/CURRENT.next")
     out = fs.create(at, True)
     out.write(bytearray(name.encode()))
     out.close()
-    target = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(at, target):
-        raise OSError(f"could not rename {at} to {target}")
+    hadoop = jvm.org.apache.hadoop.fs
+    mode = getattr(hadoop, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(mode, 1)
+    over[0] = mode.OVERWRITE
+    target = fs.makeQualified(hadoop.Path(f"{root}/CURRENT"))
+    hadoop.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(at), target, over)
 
 
 def current(spark: SparkSession, root: str) -> str | None:
-    """The version that CURRENT names; one left aside by a broken swap counts if CURRENT is gone."""
-    for name in ("CURRENT", "CURRENT.next"):
-        fs, at, _ = _file_system(spark, f"{root}/{name}")
-        if fs.exists(at):
-            return spark.read.text(f"{root}/{name}").first()[0]
-    return None
+    """The version that CURRENT names, or None."""
+    fs, at, _ = _file_system(spark, f"{root}/CURRENT")
+    return spark.read.text(f"{root}/CURRENT").first()[0] if fs.exists(at) else None
 
 
 def install(spark: SparkSession, root: str, name: str) -> DataFrame:

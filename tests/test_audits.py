@@ -45,6 +45,15 @@ def test_consensus_audits(spark):
     assert sorted(map(tuple, audit.membership(changes).collect())) == [(2, "voter"), (3, "voter")]
     matches = spark.createDataFrame([("g", 5), ("g", 9), ("g", 7), ("h", 1), ("h", 2)], "g string, match_index long")
     assert {r.g: r.commit_index for r in audit.quorum_index(matches, ["g"]).collect()} == {"g": 7, "h": 1}
+    matches = spark.createDataFrame([(g, i) for g in (1, 2, 3, 4) for i in (9, 7, 5)], "group_id long, match_index long")
+    logs = spark.createDataFrame([(1, 7, 3), (2, 7, 2), (3, 7, 3)], "group_id long, log_index long, term long")
+    leaders = spark.createDataFrame([(1, 3, 4), (2, 3, 4), (3, 3, 8), (4, 3, 1)], "group_id long, term long, committed long")
+    # Of the own term; of an older one; behind what is committed; not in the log.
+    assert {r.group_id: r.commit_index for r in audit.commit_index(matches, logs, leaders).collect()} == {1: 7, 2: 4, 3: 8, 4: 1}
+    votes = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 1, 3)], "node long, term long, candidate long")
+    assert [tuple(r) for r in audit.double_votes(votes).collect()] == [(2, 1, 2)]
+    proposed = spark.createDataFrame([(1, 5, 4), (1, 9, 5), (1, 12, 8), (2, 10, 9)], "group_id long, log_index long, applied long")
+    assert [tuple(r) for r in audit.overlapping_changes(proposed).collect()] == [(1, 12, 9)]
     assert tuple(audit.reached_epoch(spark.createDataFrame([(1,), (3,), (4,)], "epoch long"), 3).first()) == (2, 3)
 
 

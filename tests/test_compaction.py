@@ -93,3 +93,19 @@ def test_reads_of_the_merged_log(spark):
     ops = random_ops(800, 50, 12)
     merged = compact.merge(spark.createDataFrame(ops, OPS), None)
     assert {bytes(r.key) for r in read.latest_live(merged).collect()} == set(live(ops))
+
+
+def test_what_to_compact(spark):
+    mb = 1 << 20
+    level = [(1, 10, 6 * mb, b"a", b"c"), (1, 11, 6 * mb, b"d", b"f"), (1, 12, 1 * mb, b"g", b"i")]
+    below = [(2, 20, mb, b"b", b"d"), (2, 21, mb, b"e", b"e"), (2, 22, mb, b"h", b"z"), (3, 30, mb, b"a", b"z")]
+
+    def picked(rows, pointers=None) -> set:
+        return {tuple(r) for r in compact.pick_compaction(spark.createDataFrame(rows, FILES), pointers).collect()}
+
+    assert picked(level + below) == {("input", 1, 10), ("next", 2, 20)}
+    assert picked(level + below, {1: b"a"}) == {("input", 1, 11), ("next", 2, 20), ("next", 2, 21)}
+    assert picked(level + below, {1: b"g"}) == {("input", 1, 10), ("next", 2, 20)}
+    fresh = [(0, n, 1, key, key + b"x") for n, key in enumerate((b"a", b"b", b"a", b"k", b"g", b"h"))]
+    assert picked(level + below + fresh) == {*(("input", 0, n) for n in range(6)), *(("next", 1, n) for n in (10, 11, 12))}
+    assert picked(level[2:] + below) == set() and picked([]) == set()

@@ -32,10 +32,9 @@ def test_a_put_without_value_is_empty_and_a_delete_has_none(spark):
     assert [(bytes(x.key), x.value if x.value is None else bytes(x.value)) for x in log.explode_batches(log.number_batches(df)).orderBy("seq").collect()] == [(b"a", b""), (b"b", None)]
 
 
-def test_faulty_batches(spark, monkeypatch):
-    monkeypatch.setattr(log, "MAX_BATCH_BYTES", 100)
+def test_faulty_batches(spark):
     rows = [(0, [(1, b"k", b"v")]), (1, [(1, b"k", b"v" * 100)]), (2, [(1, b"\x00!raft/session/1", b"")]), (3, [(2, b"k", None)]), (4, [(0, b"k", b"v")]), (5, [])]
-    got = {r.batch_id: r.fault for r in log.batch_faults(spark.createDataFrame(rows, BATCHES)).collect()}
+    got = {r.batch_id: r.fault for r in log.batch_faults(spark.createDataFrame(rows, BATCHES), 100).collect()}
     assert got == {0: None, 1: "too_large", 2: "reserved_key", 3: "bad_kind", 4: "bad_value", 5: None}
 
 

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from kvlake.plans.queries import ORACLE_SQL, QUERIES
+from kvlake.plans.catalog import ORACLE_SQL, QUERIES
 
 from .oracle import connect, differences
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from kvlake.model import OPS
@@ -114,3 +116,17 @@ def test_bounds_reach_the_scan(spark, ops, tmp_path):
     pushed = plan[plan.index("PushedFilters") :]
     assert "GreaterThanOrEqual(key" in pushed and "LessThan(key" in pushed and "IsNotNull(seq)" in pushed
     assert "WindowGroupLimit" in plan and "TakeOrderedAndProject" in plan
+
+
+def test_many_scans_at_once(spark):
+    ops = random_ops(2000, 400, 17)
+    view = sorted(live(ops).items())
+    r = random.Random(5)
+    wanted = [(i, b"key-%04d" % r.randrange(-20, 450), r.choice((0, 1, 3, 40, 300, 10_000))) for i in range(60)] + [(99, b"", 5), (100, b"zzz", 5)]
+    df = spark.createDataFrame(ops, OPS).repartition(5)
+    got: dict[int, list] = {}
+    for x in read.multi_scan(df, spark.createDataFrame(wanted, "scan_id long, start binary, n long")).collect():
+        got.setdefault(x.scan_id, []).append((x.place, bytes(x.key), bytes(x.value)))
+    for i, start, n in wanted:
+        want = [(k, v) for k, v in view if k >= start][:n]
+        assert sorted(got.get(i, [])) == [(place, k, v) for place, (k, v) in enumerate(want, 1)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from kvlake.functions import hashing
@@ -101,6 +102,39 @@ def test_migration_keeps_the_view_and_resumes(spark):
     assert left == []
 
 
+def test_there_and_back(spark):
+    """A slot that moves away and back keeps its pairs, though tombstones and strays lie in both groups."""
+    ops = random_ops(3000, 500, 9)
+    m = shard.initial_map(spark, [10, 20])
+    homes = {r.slot: r.group_id for r in m.collect()}
+    placed = [(homes[hashing.literal_slot(o[1])], *o) for o in ops]
+    slots = list(range(0, 64, 2))
+    keys = sorted({o[1] for o in ops if hashing.literal_slot(o[1]) in slots})
+    assert len(keys) > 20
+    strays = [(20, 50_000 + i, k, 1, b"stray") for i, k in enumerate(keys)]  # newer than the pairs themselves, deleted ones among them
+    assert any(k not in live(ops) for k in keys)
+    df, view, seq = spark.createDataFrame(placed + strays, PLACED), live(ops), 100_000
+    for source, target in ((10, 20), (20, 10), (10, 20), (20, 10)):
+        df, m = shard.migrate_slots(df, m, slots, source, target, seq)
+        df, seq = df.cache(), seq + 10_000
+        assert {bytes(r.key): bytes(r.value) for r in shard.cluster_scan(df, m).collect()} == view
+        assert all(owners(m)[s][1:] == (target, False) for s in slots)
+        assert [k for r in shard.group_scan(df, source).collect() if hashing.literal_slot(k := bytes(r.key)) in slots] == []
+    assert df.groupBy("seq", "group_id").count().where("count > 1").count() == 0
+
+
+def test_a_move_that_flipped_is_only_cleared(spark):
+    m = shard.with_slot(shard.initial_map(spark, [10, 20]), 76, 20)
+    assert hashing.literal_slot(b"hello") == 76
+    df = spark.createDataFrame([(10, 1, b"hello", 1, b"old"), (20, 2, b"hello", 1, b"old"), (20, 3, b"hello", 1, b"written since")], PLACED)
+    after, then = shard.migrate_slot(df, m, 76, 10, 20, 100)
+    assert [bytes(r.value) for r in shard.cluster_scan(after, then).collect()] == [b"written since"]
+    assert shard.group_scan(after, 10).count() == 0
+    for source, target in ((30, 10), (10, 10)):
+        with pytest.raises(ValueError, match="group"):
+            shard.migrate_slot(df, m, 76, source, target, 100)
+
+
 def test_copied_but_not_flipped_shows_no_pair_twice(spark):
     ops = random_ops(500, 60, 8)
     m = shard.initial_map(spark, [10, 20])
