@@ -44,7 +44,7 @@ def one_row_each(docs: DataFrame, told: DataFrame) -> DataFrame:
     ``told`` has a row for each row of ``docs``: doc_id, sha (SHA-256 of the text, a null one counts as
     empty) and stays. Of rows that repeat both, the one that is least by its other columns stays.
     """
-    own, copy_id, copy_sha, row = (_free(name, docs.columns) for name in ("own_sha", "copy_id", "copy_sha", "row"))
+    own, copy_id, copy_sha, row = (free_name(name, docs.columns) for name in ("own_sha", "copy_id", "copy_sha", "row"))
     each = told.groupBy(F.col("doc_id").alias(copy_id), F.col("sha").alias(copy_sha)).agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("copies"))
     marked = cut(each.where("not stays or copies > 1"))
     rows = docs.withColumn(own, F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
@@ -61,7 +61,7 @@ def one_row_each(docs: DataFrame, told: DataFrame) -> DataFrame:
     return left.unionByName(one.select(f"{row}.*"))
 
 
-def _free(name: str, taken: list[str]) -> str:
+def free_name(name: str, taken: list[str]) -> str:
     """``name``, or a longer one if a column has it (in any case of letters)."""
     while name.lower() in {c.lower() for c in taken}:
         name += "_"

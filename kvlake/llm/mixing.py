@@ -12,13 +12,13 @@ only the bucket in which a leaf's budget ends is ordered row by row.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, free_name
 
 LEAF = ["domain", "lang", "source"]
 #: Rows of a hash bucket, about; a leaf has at most 65,536 buckets.
@@ -108,15 +108,14 @@ def select(docs: DataFrame, plan: Plan = PRODUCTION) -> DataFrame:
     return _taken(docs, plan)
 
 
-def _taken(docs: DataFrame, plan: Plan, tokenless: bool = False, row: Column | None = None) -> DataFrame:
-    """``select``; ``tokenless``: whether leaves without any token come with all epochs; ``row``: handed on as a column of that name, a struct with ``text``."""
-    more = [] if row is None else ["row"]
+def _taken(docs: DataFrame, plan: Plan, tokenless: bool = False, marks: Sequence[str] = ()) -> DataFrame:
+    """``select``; ``tokenless``: whether leaves without any token come with all epochs; ``marks``: columns that tell rows of one id apart, handed on."""
     d = docs.select(
         "doc_id",
         F.coalesce("lang", F.lit("")).alias("lang"),
         F.coalesce("source", F.lit("")).alias("source"),
         token_count(F.col("text")).alias("n_tokens"),
-        *([] if row is None else [row.alias("row")]),
+        *marks,
     )
     d = cut(d.withColumn("domain", _looked_up(plan.domains, F.col("source"), "other")))
     leaves = d.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
@@ -126,7 +125,7 @@ def _taken(docs: DataFrame, plan: Plan, tokenless: bool = False, row: Column | N
     rows = d.join(b.drop("tokens", "n", "budget"), LEAF)
     key = F.md5(F.concat_ws("|", F.lit(str(plan.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = rows.withColumn("key", key).withColumn("bucket", F.expr("cast(conv(substr(key, 1, 4), 16, 10) as bigint) * buckets div 65536"))
-    out = ["doc_id", *LEAF, "n_tokens", *more]
+    out = ["doc_id", *LEAF, "n_tokens", *marks]
     whole = rows.where("whole > 0").select(*out, F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("epoch"))
     last = rows.where("rest > 0")
     sums = last.groupBy(*LEAF, "bucket", "rest").agg(F.sum("n_tokens").alias("in_bucket"))
@@ -134,7 +133,7 @@ def _taken(docs: DataFrame, plan: Plan, tokenless: bool = False, row: Column | N
     sums = sums.withColumn("upto", upto).where("upto - in_bucket <= rest").select(*LEAF, "bucket", (F.col("upto") - F.col("in_bucket")).alias("passed"), (F.col("upto") <= F.col("rest")).alias("all"))
     met = last.join(sums, [*LEAF, "bucket"])
     inside = met.where("all").select(*out, F.col("whole").alias("epoch"))
-    run = F.sum("n_tokens").over(Window.partitionBy(*LEAF).orderBy("key", "doc_id", "n_tokens", *(f"{c}.text" for c in more)).rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum("n_tokens").over(Window.partitionBy(*LEAF).orderBy("key", "doc_id", "n_tokens", *marks).rowsBetween(Window.unboundedPreceding, 0))
     edge = met.where("not all").withColumn("run", run).where("passed + run <= rest").select(*out, F.col("whole").alias("epoch"))
     return whole.unionByName(inside).unionByName(edge)
 
@@ -142,16 +141,28 @@ def _taken(docs: DataFrame, plan: Plan, tokenless: bool = False, row: Column | N
 def keep_selected(docs: DataFrame, plan: Plan, unnamed: bool = False) -> DataFrame:
     """The rows of ``docs`` that one epoch takes; the columns stay as they are.
 
-    Rows without a doc_id have their part of the budget; they are taken one by one if ``unnamed``, else not
-    at all. Rows whose (domain, lang, source) has no token cost nothing and stay, unless a weight is 0.
+    Rows are taken one by one, those that repeat a doc_id too: of rows that are alike in all columns as many
+    stay as were taken. Rows without a doc_id have their part of the budget; they are taken like any other if
+    ``unnamed``, else not at all. Rows whose (domain, lang, source) has no token cost nothing and stay, unless
+    a weight is 0. An empty table gives no rows.
     """
     if plan.max_epochs != 1:
         raise ValueError("rows are kept or not: max_epochs must be 1")
-    # Rows with a doc_id are found by it; only those without one travel as a whole.
-    row = F.when(F.col("doc_id").isNull(), F.struct(*docs.columns)) if unnamed else None
-    taken = _taken(docs, plan, True, row)
-    if unnamed:
-        taken = cut(taken.select("doc_id", "row"))
-    named = taken.where("doc_id is not null").select(F.col("doc_id").alias("taken_id")).distinct()
-    kept = docs.join(named, F.col("doc_id") == F.col("taken_id"), "left_semi")
-    return kept.unionByName(taken.where("doc_id is null").select("row.*")) if unnamed else kept
+    marks = [free_name(f"mark{i}", docs.columns) for i in (1, 2)]
+    rows = docs.withColumns({name: F.xxhash64(F.lit(i), *(F.col(f"`{c}`") for c in docs.columns)) for i, name in enumerate(marks)})
+    taken = _taken(rows, plan, True, marks).select(F.col("doc_id").alias("t_id"), *(F.col(m).alias(f"t_{m}") for m in marks))
+    taken = taken.where(F.lit(True) if unnamed else F.col("t_id").isNotNull()).groupBy(taken.columns).agg(F.count(F.lit(1)).alias("t_times"))
+    taken = cut(taken)
+    often = rows.groupBy("doc_id", *marks).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    often = cut(often.select(F.col("doc_id").alias("o_id"), *(F.col(m).alias(f"o_{m}") for m in marks)))
+
+    def same(side: str) -> Column:
+        parts = [F.col(m) == F.col(f"{side}_{m}") for m in marks]
+        return F.col("doc_id").eqNullSafe(F.col(f"{side}_id")) & parts[0] & parts[1]
+
+    kept = rows.join(taken.drop("t_times"), same("t"), "left_semi")
+    if often.isEmpty():
+        return kept.select(docs.columns)
+    alike = kept.join(often, same("o"), "left_semi").groupBy("doc_id", *marks).agg(F.first(F.struct(*docs.columns)).alias("alike"))
+    again = alike.join(taken, same("t")).select("alike", F.explode(F.sequence(F.lit(1).cast("long"), F.col("t_times")))).select("alike.*")
+    return kept.join(often, same("o"), "left_anti").select(docs.columns).unionByName(again)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, exact_dedup, html_text, line_dedup, minhash, mixing, repetition, sentence_pieces, toxicity, url_filter
 from ._spark import table
+from .repetition_sql import judge_sql
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +113,7 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT e.*, b.whole, b.rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('17|' || whole || '|' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, n_tokens ROWS UNBOUNDED PRECEDING) AS run FROM e JOIN b USING (domain, lang, source))
         SELECT doc_id, domain, lang, source, n_tokens, unnest(range(0, whole)) AS epoch FROM r
         UNION ALL SELECT doc_id, domain, lang, source, n_tokens, whole AS epoch FROM r WHERE rest > 0 AND run <= rest""",
+    "op6_quality_rules": judge_sql(),
     "op7_minhash": r"""
         WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM d),

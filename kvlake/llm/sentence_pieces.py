@@ -9,6 +9,9 @@ A forward state is the best path that ends at a place. Unigram models add up pie
 the largest sum. In BPE models scores rank merges and sums mean nothing: there a path is legal if
 each two neighbouring pieces are such that the merge order leaves them apart, exactly one legal path
 ends at each place, and its state is its last piece. Both equal the library's own encoding.
+
+Of a place, its state, last piece and (unigram models) score are held, so an unbroken word of n characters
+takes about 300 n bytes and time in proportion to n; one of 200,000 characters takes under 100 MB.
 """
 
 from __future__ import annotations
@@ -290,15 +293,15 @@ def _with(df: DataFrame, more: str) -> str:
 
 
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
-    """``docs`` and ``ids``, the pieces of the whole text; a null text has none, like an empty one."""
+    """``docs`` and ``ids``, the pieces of the whole text; a null text has none, like an empty one. A column ``ids`` of ``docs`` is an error (ValueError)."""
     return docs.mapInArrow(_encode_rows(model, docs.columns.index("text"), False), _with(docs, "ids array<int>"))
 
 
 def code(docs: DataFrame, model: bytes) -> DataFrame:
-    """``docs`` with ``ids`` and ``decoded``, the text that the ids stand for: both in one pass."""
+    """``docs`` with ``ids`` and ``decoded``, the text that the ids stand for: both in one pass. Columns of these names in ``docs`` are an error (ValueError)."""
     return docs.mapInArrow(_encode_rows(model, docs.columns.index("text"), True), _with(docs, "ids array<int>, decoded string"))
 
 
 def decode(rows: DataFrame, model: bytes) -> DataFrame:
-    """``rows`` and ``decoded``, the text of ``ids``; null ids give null."""
+    """``rows`` and ``decoded``, the text of ``ids``; null ids give null. A column ``decoded`` of ``rows`` is an error (ValueError)."""
     return rows.mapInArrow(_decode_rows(model, rows.columns.index("ids")), _with(rows, "decoded string"))

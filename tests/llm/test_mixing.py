@@ -115,3 +115,15 @@ def test_rows_without_tokens_or_ids(spark):
     # The SQL of the query gives no rows for a leaf without tokens.
     assert {(r.doc_id, r.source) for r in X.select(df, plan).collect()} <= {(None, "s3")} | {(10 + i, "s1") for i in range(6)}
     assert {r.n for r in X.keep_selected(df.where("source in ('s4', 's5')"), plan, unnamed=True).collect()} == free
+
+
+def test_rows_of_one_id_are_taken_one_by_one(spark):
+    """Half of the tokens: an id with several texts, rows alike in all columns, and rows without an id."""
+    rows = [(7, f"a b {i}", "en", "s1", 0) for i in range(10)] + [(8, "c d e", "en", "s1", 0)] * 10 + [(None, "f g h", "en", "s1", 1)] * 10
+    df = spark.createDataFrame(rows, SCHEMA + ", mark1 long").repartition(4)
+    got = X.keep_selected(df, X.Plan(percent=50, max_epochs=1), unnamed=True)
+    assert got.columns == df.columns
+    found = Counter(map(tuple, got.collect()))
+    assert sum(found.values()) == 15 and not found - Counter(rows)
+    named = Counter(map(tuple, X.keep_selected(df, X.Plan(percent=50, max_epochs=1)).collect()))
+    assert named == Counter({k: n for k, n in found.items() if k[0] is not None})

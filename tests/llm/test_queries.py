@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from pathlib import Path
 
 import pytest
 import sentencepiece
@@ -77,6 +78,15 @@ def test_quality_rules(spark, tables):
     assert got[904][0] == 3000 and got[904][7] and not got[904][8]
 
 
+def test_the_method_refuses_rows_that_the_base_passes(spark):
+    """Among the whole texts of sf0.01: those of which a tenth is passages of ten words or more that come again."""
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("the test tables are not here")
+    rows = QUERIES["op6_quality_rules"](spark, str(folder)).where("not base_failed and not kept").collect()
+    assert rows and all(10 * r.covered_words > r.n_words and 5 * r.n_repeat_words <= r.n_words for r in rows)
+
+
 def test_chat_format(spark, tables):
     got = QUERIES["op9_chat_format"](spark, tables[0]).collect()
     assert len(got) == len(tables[3])

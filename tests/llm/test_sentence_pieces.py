@@ -78,3 +78,18 @@ def test_memory_grows_in_proportion_to_an_unbroken_word(body):
     tracemalloc.stop()
     assert ids == library.encode(word)
     assert peak < 20_000_000
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "漢字仮名交文書日本語中国人民大学校長年月火水木金土"])
+def test_one_word_of_200000_characters(letters):
+    """Equal to the library, in memory and time that grow with the word."""
+    r = random.Random(len(letters))
+    word = "".join(r.choice(letters) for _ in range(200_000))
+    model, library = S.Model(BODY), sentencepiece.SentencePieceProcessor(model_proto=BODY)
+    model.encode(word[:5000])
+    tracemalloc.start()
+    ids = model.encode(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+    assert ids == library.encode(word) and model.decode(ids) == word
