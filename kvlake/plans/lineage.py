@@ -14,6 +14,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spend(df: DataFrame) -> None:
+    """Remove the files of a table that ``cut`` wrote and that nothing reads any more."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder, for a table that a query writes and reads again."""
     return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
