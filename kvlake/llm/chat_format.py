@@ -265,8 +265,9 @@ def repair_turns(conversations: DataFrame, costs: Costs = Costs()) -> DataFrame:
 
     The pieces of a conversation, in the order of turn, role and hash of the text (nulls first), are its
     rendered chat; the last piece also ends it. Repeated rows count as turns of their own, a null role is unknown, a null text is empty, and rows without a conv_id
-    are one conversation. Only two short rows for each partition reach the driver. Other columns are
-    not read.
+    are one conversation. Only two short rows for each partition reach the driver. A task holds the roles of
+    a conversation's turns in its partition together; a longer conversation spans partitions. An empty table
+    gives no rows. Other columns are not read.
     """
     order = [F.asc_nulls_first(c) for c in ("conv_id", "turn", "role", "tie")]
     rows = conversations.select("conv_id", "turn", "role", "text").withColumn("tie", F.xxhash64("text"))

@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, spend
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the smallest of its neighbourhood."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+def _least(links: DataFrame, by: str, value: str, out: str) -> DataFrame:
+    """The smallest ``value`` of each ``by``: written, so that a join with it is free to split a hub's links over tasks."""
+    return cut(links.groupBy(by).agg(F.min(value).alias(out)))
+
 
+def _round(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """One large and one small star, and the tables that are spent once the result is written.
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Smaller neighbours of a node, and the node, are linked to the smallest of them."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    hung = edges.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    return hung.unionByName(least.select(F.col("m").alias("a"), "b")).where("a < b").distinct()
+    Large: every larger neighbour of a node is linked to the smallest of its neighbourhood. Small: smaller
+    neighbours of a node, and the node, are linked to the smallest of them.
+    """
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    near = _least(both, "u", "v", "m")
+    large = cut(both.join(near, "u").where("v > u").select(F.least("u", "m").alias("a"), F.col("v").alias("b")))
+    least = _least(large, "b", "a", "m")
+    hung = large.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    small = hung.unionByName(least.select(F.col("m").alias("a"), "b")).where("a < b").distinct()
+    return small, [near, large, least]
 
 
 def _edges(links: DataFrame) -> DataFrame:
@@ -28,7 +34,12 @@ def _edges(links: DataFrame) -> DataFrame:
 
 def contracted(links: DataFrame) -> DataFrame:
     """One round of contraction: links (a < b) that join the same nodes, most of them to the smallest node of their component."""
-    return cut(_small_star(_large_star(_edges(links))))
+    edges = cut(_edges(links))
+    small, spent = _round(edges)
+    out = cut(small)
+    for table in (edges, *spent):
+        spend(table)
+    return out
 
 
 def part_labels(links: DataFrame) -> DataFrame:
@@ -52,8 +63,11 @@ def components(links: DataFrame) -> DataFrame:
 
     edges, now = written(_edges(links))
     while now[0]:
-        before = now
-        edges, now = written(_small_star(_large_star(edges)))
+        before, old = now, edges
+        small, spent = _round(edges)
+        edges, now = written(small)
+        for table in (old, *spent):
+            spend(table)
         if before == now:
             break
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -104,7 +104,8 @@ def exact_groups(docs: DataFrame, chunk: int = CHUNK, huge_bytes: int = 1 << 24,
     """
     rows = cut(fingerprints(docs, chunk, huge_bytes, primes))
     key = ["fp", "n_bytes"]
-    shared = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    # Written, as the groups are below, so that joins with them are free to split a large group's rows over tasks.
+    shared = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key))
     members = rows.join(shared, key).select("doc_id", "sha", *key).distinct()
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").cast("binary").alias("body"))
     m = members.select(F.col("doc_id").alias("m_id"), F.col("n_bytes").alias("m_bytes"), "sha", "fp")
@@ -114,7 +115,7 @@ def exact_groups(docs: DataFrame, chunk: int = CHUNK, huge_bytes: int = 1 << 24,
     unlike = same.groupBy(key).agg(F.bool_and("same").alias("same")).where("not same").select(*key, F.lit(True).alias("unlike"))
     told = rows.join(unlike, key, "left").withColumn("part", F.when(F.col("unlike"), F.col("sha")).otherwise(F.lit(b"")))
     told = told.select("doc_id", "sha", *key, "part")
-    groups = told.groupBy(*key, "part").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = cut(told.groupBy(*key, "part").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     return told.join(groups, [*key, "part"]).select(
         "doc_id",
         "keep_id",

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import _text
 from ._spark import cut
 
-#: Lines of fewer words have equal copies only: with one edit too much of them changes.
+#: One edit leaves lines of so many words alike by 0.8 or more; shorter ones have equal copies only.
 MIN_WORDS = 5
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
@@ -179,6 +179,9 @@ def line_verdicts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, line_no, n (words), dropped, keep_doc_id and keep_line_no (the earlier line, or itself) of every line with a word,
     and a row with line_no -1 and n the count of lines for every text.
 
+    The earlier line is the earliest that is equal or within one edit. It may go itself, for a still earlier one
+    that is within one edit of it but not of this line: dropping looks at pairs, not at chains of them.
+
     Lines are ordered by doc_id and line number. A null or empty text has one line without a word,
     and such lines stay. Texts without a doc_id take no part and have no rows; a doc_id names one
     text, and rows that repeat it and its text count as one. Other columns of ``docs`` are not read.

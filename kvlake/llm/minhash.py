@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import cut, one_row_each, tidy
+from ._spark import cut, one_row_each, spend, tidy
 from .components import components, contracted, part_labels
 
 
@@ -165,12 +165,18 @@ def _classes(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     classes = rows.where("set_key is not null").groupBy("set_key").agg(first, F.first(F.struct("n_shingles", "bands", "parity")).alias("set"))
     ordered = classes.repartitionByRange("first", "set_key").sortWithinPartitions("first", "set_key").withColumn("node", F.monotonically_increasing_id())
     words = [F.col("set.parity")[i].alias(f"p{i}") for i in range(PARITY_WORDS)]
-    return rows.drop("bands", "parity"), cut(ordered.select("node", "set_key", F.col("first.doc_id").alias("first_id"), F.col("first.sha").alias("first_sha"), F.col("set.n_shingles").alias("size"), *words, F.col("set.bands").alias("bands")))
+    classes = cut(ordered.select("node", "set_key", F.col("first.doc_id").alias("first_id"), F.col("first.sha").alias("first_sha"), F.col("set.n_shingles").alias("size"), *words, F.col("set.bands").alias("bands")))
+    narrow = cut(rows.drop("bands", "parity"))
+    spend(rows)
+    return narrow, classes
 
 
 def _centres(members: DataFrame) -> DataFrame:
-    """bucket, centre and n of buckets with two members or more: the first, for originals mostly precede their copies. Any choice gives the same groups."""
-    return members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    """bucket, centre and n of buckets with two members or more: the first, for originals mostly precede their copies. Any choice gives the same groups.
+
+    Written, so that the join with it is free to split a large bucket's members over tasks.
+    """
+    return cut(members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1"))
 
 
 def _close(s: Settings, x: str, y: str) -> Column:
@@ -187,14 +193,15 @@ def _marked(marks: DataFrame, by: str) -> DataFrame:
 
 def _links(pairs: DataFrame, marks: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose texts are alike enough. Many pairs of one ``a`` are dealt over tasks, and its text goes once to each part."""
-    near = pairs.join(_marked(marks, "a"), "a").join(_marked(marks, "b"), "b").where(_close(s, "a_", "b_")).select("a", "b")
-    near = cut(near)
+    near = cut(pairs.join(_marked(marks, "a"), "a").join(_marked(marks, "b"), "b").where(_close(s, "a_", "b_")).select("a", "b"))
     parts = near.groupBy("a").agg(F.expr(f"count(*) div {PART_PAIRS} + 1").alias("parts"))
     dealt = near.join(parts, "a").select("a", "b", F.expr("pmod(xxhash64(b), parts)").alias("part"))
     heads = dealt.select("a", "part").distinct().join(texts, F.col("a") == F.col("node")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     others = dealt.join(texts, F.col("b") == F.col("node")).select("a", "part", "b", "text")
     rows = heads.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return cut(rows.select("a", "b", "text").mapInArrow(tidy(_verify(s)), "a long, b long"))
+    out = cut(rows.select("a", "b", "text").mapInArrow(tidy(_verify(s)), "a long, b long"))
+    spend(near)
+    return out
 
 
 def _grouped(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -207,7 +214,7 @@ def _main(grouped: DataFrame) -> DataFrame:
     """bucket, main and pick of buckets with more than one component: the largest one, and one of its members by a hash."""
     each = grouped.groupBy("bucket", "group").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "bucket")).alias("pick"))
     best = each.groupBy("bucket").agg(F.max(F.struct("n", "group", "pick")).alias("best"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    return best.select("bucket", F.col("best.group").alias("main"), F.col("best.pick").alias("pick"))
+    return cut(best.select("bucket", F.col("best.group").alias("main"), F.col("best.pick").alias("pick")))
 
 
 def _shingle_rows(s: Settings):
@@ -251,7 +258,9 @@ def _rest(grouped: DataFrame, marks: DataFrame, texts: DataFrame, s: Settings) -
     two = rare.select("shingle", _size_band(F.col("size")).alias("band"), *(F.col(c).alias(f"y_{c}") for c in kept))
     enough = F.least("x_left_over", "y_left_over") * (100 + s.percent) >= (F.col("x_size") + F.col("y_size")) * s.percent
     met = one.join(two, ["shingle", "band"]).where((F.col("x_group") != F.col("y_group")) & enough & _close(s, "x_", "y_"))
-    return cut(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
+    out = cut(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
+    spend(rows)
+    return out
 
 
 def near_classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -271,10 +280,14 @@ def near_classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     grouped = _grouped(open_ones, part_labels(links))
     again = grouped.join(_main(grouped), "bucket").where("group <> main").select(F.col("pick").alias("a"), F.col("node").alias("b")).distinct()
     links = contracted(links.unionByName(_links(again, marks, texts, s)))
-    rest = _rest(_grouped(open_ones, part_labels(links)), marks, texts, s)
+    spend(grouped)
+    grouped = _grouped(open_ones, part_labels(links))
+    rest = _rest(grouped, marks, texts, s)
     if not rest.isEmpty():
         links = links.unionByName(_links(rest, marks, texts, s))
     found = components(links)
+    for table in (grouped, members, texts):
+        spend(table)
 
     heads = classes.select(F.col("node").alias("component"), F.col("first_id").alias("component_id"))
     leads = F.col("node") == F.col("component")
