@@ -9,7 +9,7 @@ the tasks that score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,7 +73,36 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     return (key & ((1 << bits) - 1)).astype(np.int32), np.searchsorted(key, np.arange(offsets.size) << bits)
 
 
-def learn(rows: list[tuple[np.ndarray, int]], s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
+#: Gaps are held in 16 bits: this many or more is this number, again and again, and the rest.
+GAP = 65535
+
+
+def packed(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending buckets of each text as gaps of 16 bits, and where each text's begin: half of their bytes."""
+    gaps = np.diff(ids, prepend=0).astype(np.int64)
+    heads = bounds[:-1][np.diff(bounds) > 0]
+    gaps[heads] = ids[heads]
+    ends = np.cumsum(gaps // GAP + 1)
+    out = np.full(int(ends[-1]) if ends.size else 0, GAP, dtype=np.uint16)
+    out[ends - 1] = gaps % GAP
+    return out, np.append(0, ends)[bounds]
+
+
+def unpacked(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(gaps, dtype=np.int64)[gaps != GAP]
+
+
+class Examples:
+    """Packed (buckets, label) rows that are unpacked one by one, each time they are gone through."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, int]]):
+        self.rows = rows
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, int]]:
+        return ((unpacked(gaps), label) for gaps, label in self.rows)
+
+
+def learn(rows: Iterable[tuple[np.ndarray, int]], s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
     """FTRL-proximal over (buckets, label) rows in the given order: bucket ids, their weights, the bias."""
     size = 1 << s.bits
     z, g2 = np.zeros(size + 1), np.zeros(size + 1)
@@ -100,10 +129,9 @@ def _bucket_rows(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in _text.slices(batch.column(2)):
-                ids, bounds = features(data, offsets, bits)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(bounds.astype(np.int32), ids)], names=["at", "label", "buckets"]
-                )
+                gaps, bounds = packed(*features(data, offsets, bits))
+                held = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(gaps)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), held], names=["at", "label", "gaps"])
 
     return run
 
@@ -112,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple
     """Learn from labelled rows; ``labels`` (doc_id, toxic) holds those that may be seen.
 
     At most ``s.sample`` rows are taken, so both the broadcast ids and the rows that reach the
-    driver are bounded; a row sends four bytes for each of its distinct features. Null ids or labels
+    driver are bounded; a row sends two bytes for each of its distinct features. Null ids or labels
     are passed over, repeated labels count once, and an id with both labels counts with each. Without
     any row the model is a bias of 0.
     """
@@ -120,14 +148,13 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple
     seen = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label"), at.alias("at")).distinct()
     few = seen.orderBy("at", "doc_id", "label").limit(s.sample).withColumnRenamed("doc_id", "l_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("l_id")).select("at", "label", "text")
-    got = rows.mapInArrow(tidy(_bucket_rows(s.bits)), "at long, label int, buckets array<int>").toArrow()
-    examples = []  # views of the batches as they came: the buckets are not copied
+    got = rows.mapInArrow(tidy(_bucket_rows(s.bits)), "at long, label int, gaps binary").toArrow()
+    examples = []  # views of the batches as they came: nothing is copied
     for batch in got.to_batches():
-        at, label, lists = batch.columns
-        flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
-        examples += [(k, y, flat[a:b]) for k, y, a, b in zip(at.to_pylist(), label.to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        at, label, gaps = batch.columns
+        examples += [(k, y, np.frombuffer(x.as_buffer(), np.uint16)) for k, y, x in zip(at.to_pylist(), label.to_pylist(), gaps, strict=True)]
     examples.sort(key=lambda e: e[:2])
-    return learn([(buckets, y) for _, y, buckets in examples], s)
+    return learn(Examples([(gaps, y) for _, y, gaps in examples]), s)
 
 
 def _score_rows(model: tuple[np.ndarray, np.ndarray, float], bits: int):

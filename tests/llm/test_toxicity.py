@@ -62,6 +62,15 @@ def test_a_stem_that_comes_again_is_a_feature_of_its_own():
     assert T.features(data, np.array([0, 7, 14]), 30)[1].tolist() == [0, 3, 6]  # not across texts
 
 
+def test_packed_buckets_come_back():
+    r = np.random.default_rng(5)
+    rows = [np.sort(r.choice(1 << 20, n, replace=False)) for n in (0, 1, 3, 5000, 0, 2, 0)] + [np.array(x) for x in ([0], [65535], [0, 65535, 65536], [65534], [131070, 1048575])]
+    bounds = np.append(0, np.cumsum([x.size for x in rows]))
+    gaps, at = T.packed(np.concatenate(rows).astype(np.int32), bounds)
+    assert gaps.dtype == np.uint16 and all(np.array_equal(T.unpacked(gaps[a:b]), x) for a, b, x in zip(at, at[1:], rows, strict=False))
+    assert T.packed(np.zeros(0, np.int32), np.array([0, 0, 0]))[1].tolist() == [0, 0, 0]
+
+
 def test_ftrl_learns_and_forgets_rare_features():
     r = random.Random(2)
     rows = [(np.array(sorted({7 if y else 9, 100 + r.randrange(50), 1000 + i}), np.int32), y) for i, y in enumerate(r.randrange(2) for _ in range(400))]
