@@ -29,12 +29,12 @@ def _sized(n: str) -> str:
 
 
 _BATCH_BYTES = f"""{q._ITEMS}, sizes AS (SELECT batch_id, (8 + {_BYTES.replace('n', 'count(*)')} + sum(1 + {_sized('strlen(key)')} + CASE WHEN kind = 1 THEN {_sized('strlen(value)')} ELSE 0 END))::BIGINT AS bytes FROM exploded GROUP BY batch_id)"""
-_SEGMENTS = f"""{_BATCH_BYTES}, upto AS (SELECT n.batch_id, n.base_seq, n.n_ops, s.bytes, (sum(s.bytes + 8) OVER (ORDER BY n.batch_id) - s.bytes - 8) // 16384 AS c FROM numbered n JOIN sizes s USING (batch_id)),
+_SEGMENTS = f"""{_BATCH_BYTES}, upto AS (SELECT n.batch_id, n.base_seq, n.n_ops, s.bytes, (sum(s.bytes + 8) OVER (ORDER BY n.batch_id) - s.bytes - 8) // 262144 AS c FROM numbered n JOIN sizes s USING (batch_id)),
     cuts AS (SELECT *, dense_rank() OVER (ORDER BY c) AS segment FROM upto)"""
 
 
 def _segments(spark, sf_dir) -> DataFrame:
-    return raw.log_segments(log.number_batches(views.batches_from_lineitem(spark, sf_dir)), 1 << 14)
+    return raw.log_segments(log.number_batches(views.batches_from_lineitem(spark, sf_dir)), 1 << 18)
 
 
 @query(f"WITH {_SEGMENTS} SELECT segment, count(*) AS batches, min(base_seq)::BIGINT AS first_seq, max(base_seq + n_ops - 1)::BIGINT AS last_seq, sum(bytes + 8)::BIGINT AS bytes FROM cuts GROUP BY segment")
