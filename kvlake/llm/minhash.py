@@ -93,8 +93,8 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 #: Words of a set's parity bitmap.
 PARITY_WORDS = 8
-#: Pairs of one centre that a task compares, about: the centre's text travels once for so many.
-PART_PAIRS = 64
+#: The pairs of one centre are dealt into so many parts at most, and its text travels once to each.
+PARTS = 1024
 #: Sizes within one band differ by this factor at most.
 SIZE_STEP = 1.1
 
@@ -194,8 +194,7 @@ def _marked(marks: DataFrame, by: str) -> DataFrame:
 def _links(pairs: DataFrame, marks: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose texts are alike enough. Many pairs of one ``a`` are dealt over tasks, and its text goes once to each part."""
     near = cut(pairs.join(_marked(marks, "a"), "a").join(_marked(marks, "b"), "b").where(_close(s, "a_", "b_")).select("a", "b"))
-    parts = near.groupBy("a").agg(F.expr(f"count(*) div {PART_PAIRS} + 1").alias("parts"))
-    dealt = near.join(parts, "a").select("a", "b", F.expr("pmod(xxhash64(b), parts)").alias("part"))
+    dealt = near.select("a", "b", F.expr(f"pmod(xxhash64(b), {PARTS})").alias("part"))
     heads = dealt.select("a", "part").distinct().join(texts, F.col("a") == F.col("node")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     others = dealt.join(texts, F.col("b") == F.col("node")).select("a", "part", "b", "text")
     rows = heads.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
