@@ -29,15 +29,20 @@ def tidy(run: Body, forget: Callable[[], None] = lambda: None) -> Body:
             yield from run(batches)
         finally:
             forget()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return body
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def one_row_each(docs: DataFrame, told: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one for each doc_id and text; the columns stay as they are.
 

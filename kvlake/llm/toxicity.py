@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import tidy
+from ._spark import give_back, tidy
 
 
 #: Bytes of the stems, and how many times of one in a text are told apart.
@@ -120,9 +120,9 @@ def learn(rows: Iterable[tuple[np.ndarray, int]], s: Settings) -> tuple[np.ndarr
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
             z[at] += g - (np.sqrt(g2[at] + g * g) - np.sqrt(g2[at])) / s.alpha * w
             g2[at] += g * g
-    w = weights(np.arange(size + 1))
-    ids = np.flatnonzero(w[:-1])
-    return ids.astype(np.int32), w[ids], float(w[-1])
+    ids = np.flatnonzero(np.abs(z[:-1]) > s.l1)  # the others weigh nothing
+    w = weights(ids)
+    return ids[w != 0].astype(np.int32), w[w != 0], float(weights(np.array([size]))[0])
 
 
 def _bucket_rows(bits: int):
@@ -153,8 +153,12 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple
     for batch in got.to_batches():
         at, label, gaps = batch.columns
         examples += [(k, y, np.frombuffer(x.as_buffer(), np.uint16)) for k, y, x in zip(at.to_pylist(), label.to_pylist(), gaps, strict=True)]
+        del batch, at, label, gaps
     examples.sort(key=lambda e: e[:2])
-    return learn(Examples([(gaps, y) for _, y, gaps in examples]), s)
+    model = learn(Examples([(gaps, y) for _, y, gaps in examples]), s)
+    del got, examples
+    give_back()
+    return model
 
 
 def _score_rows(model: tuple[np.ndarray, np.ndarray, float], bits: int):
