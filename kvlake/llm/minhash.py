@@ -95,6 +95,8 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 PARITY_WORDS = 8
 #: The pairs of one centre are dealt into so many parts at most, and its text travels once to each.
 PARTS = 1024
+#: Pairs of the rest are compared in shares that grow by this factor, if there are more than so many for each node.
+SHARE_STEP = 8
 #: Sizes within one band differ by this factor at most.
 SIZE_STEP = 1.1
 
@@ -262,6 +264,41 @@ def _rest(grouped: DataFrame, marks: DataFrame, texts: DataFrame, s: Settings) -
     return out
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    of = [found.select(F.col("node").alias(f"_{x}"), F.col("component").alias(f"_of_{x}")) for x in "ab"]
+    both = pairs.join(of[0], F.col("a") == F.col("_a"), "left").join(of[1], F.col("b") == F.col("_b"), "left")
+    return both.where(F.coalesce("_of_a", "a") != F.coalesce("_of_b", "b")).select("a", "b")
+
+
+def _joined(rest: DataFrame, links: DataFrame, marks: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """``links``, and as many links of the pairs of ``rest`` as give all components.
+
+    If the pairs are many, a share of them by a hash is compared first, and then of larger ones those that the
+    links so far leave apart. Between components of a random share of links there are, as expected, no more
+    links than nodes divided by the share; so each step adds links in proportion to the nodes, not to the pairs.
+    """
+    n_pairs = rest.count()
+    if not n_pairs:
+        return links
+    n_nodes = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().count()
+    share = 1
+    while share * SHARE_STEP * n_nodes < n_pairs:
+        share *= SHARE_STEP
+    if share == 1:
+        return links.unionByName(_links(rest, marks, texts, s))
+    place = F.xxhash64("a", "b")
+    done = F.lit(False)
+    while share:
+        found = components(links)
+        links = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        left = rest.where((F.pmod(place, F.lit(share)) == 0) & ~done)
+        links = links.unionByName(_links(_apart(left, found), marks, texts, s))
+        done = F.pmod(place, F.lit(share)) == 0
+        share //= SHARE_STEP
+    return links
+
+
 def near_classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, sha, n_shingles, set_key) of ``docs``, and for each set_key: the first doc_id of its component, and the first row (first_id, first_sha) of its class if the class is the component's first."""
     rows, classes = _classes(docs, s)
@@ -282,9 +319,7 @@ def near_classes(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame,
     spend(grouped)
     grouped = _grouped(open_ones, part_labels(links))
     rest = _rest(grouped, marks, texts, s)
-    if not rest.isEmpty():
-        links = links.unionByName(_links(rest, marks, texts, s))
-    found = components(links)
+    found = components(_joined(rest, links, marks, texts, s))
     for table in (grouped, members, texts):
         spend(table)
 

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kvlake.llm import components as G
 from kvlake.llm import minhash as M
@@ -75,6 +76,26 @@ def test_the_rest_is_searched_for(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got} == brute(rows)
 
 
+def test_links_of_the_rest_grow_with_the_members(spark, monkeypatch):
+    """All members of a family are left apart until the rest is searched; most of its pairs are links."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        w[r.randrange(100)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    nobody = spark.createDataFrame([], "node long, component long")
+    seen, whole = [], M.components
+    monkeypatch.setattr(M, "part_labels", lambda links: nobody)
+    monkeypatch.setattr(M, "_main", lambda grouped: grouped.groupBy("bucket").agg(F.min("group").alias("main"), F.min("node").alias("pick")))
+    monkeypatch.setattr(M, "contracted", lambda links: links.where("false"))
+    monkeypatch.setattr(M, "components", lambda links: seen.append(links.select("a", "b").distinct().count()) or whole(links))
+    got = M.near_groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got} == brute(rows)
+    assert max(seen) <= 16 * len(rows), seen
+
+
 def test_repeated_rows_nulls_and_other_columns(spark):
     rows = [(1, "a b c d", 0), (1, "a b c d", 0), (2, "a b c d", 0), (None, "a b c d", 0), (None, "z", 0), (None, None, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id long")
