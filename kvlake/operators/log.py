@@ -18,12 +18,20 @@ RANGE = 1 << 16
 
 def running_total(df: DataFrame, order: str, amount: str, out: str) -> DataFrame:
     """``out`` = sum of ``amount`` over all rows with a smaller ``order`` (a non-negative BIGINT): no single task sees all rows."""
+    return running_totals(df, order, {amount: out})
+
+
+def running_totals(df: DataFrame, order: str, amounts: dict[str, str]) -> DataFrame:
+    """The running totals of several amounts, each under the name given for it, in one pass."""
     ranged = df.withColumn("_range", F.expr(f"{order} div {RANGE}"))
-    totals = ranged.groupBy("_range").agg(F.sum(amount).alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.select("_range", before.alias("_before"))
-    within = F.coalesce(F.sum(amount).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("_within", within).join(totals, "_range").withColumn(out, (F.col("_before") + F.col("_within")).cast("long")).drop("_range", "_within", "_before")
+    totals = ranged.groupBy("_range").agg(*(F.sum(amount).alias(f"_sum_{out}") for amount, out in amounts.items()))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = {out: F.coalesce(F.sum(f"_sum_{out}").over(upto(Window.orderBy("_range"))), F.lit(0)) for out in amounts.values()}
+    totals = totals.select("_range", *(c.alias(f"_before_{out}") for out, c in before.items()))
+    within = {f"_within_{out}": F.coalesce(F.sum(amount).over(upto(Window.partitionBy("_range").orderBy(order))), F.lit(0)) for amount, out in amounts.items()}
+    met = ranged.withColumns(within).join(totals, "_range")
+    met = met.withColumns({out: (F.col(f"_before_{out}") + F.col(f"_within_{out}")).cast("long") for out in amounts.values()})
+    return met.drop("_range", *within, *(f"_before_{out}" for out in amounts.values()))
 
 
 def number_by_key(rows: DataFrame, next_seq: int) -> DataFrame:

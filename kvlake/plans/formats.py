@@ -34,7 +34,7 @@ _SEGMENTS = f"""{_BATCH_BYTES}, upto AS (SELECT n.batch_id, n.base_seq, n.n_ops,
 
 
 def _segments(spark, sf_dir) -> DataFrame:
-    return raw.log_segments(log.number_batches(views.batches_from_lineitem(spark, sf_dir)), 1 << 18)
+    return raw.log_segments(views.batches_from_lineitem(spark, sf_dir), 1 << 18)
 
 
 @query(f"WITH {_SEGMENTS} SELECT segment, count(*) AS batches, min(base_seq)::BIGINT AS first_seq, max(base_seq + n_ops - 1)::BIGINT AS last_seq, sum(bytes + 8)::BIGINT AS bytes FROM cuts GROUP BY segment")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +49,77 @@ def test_look_up_meets_files_without_pairs(spark, monkeypatch):
     assert sorted((x.file, x.seq, bytes(x.key), bytes(x.value)) for x in found.collect()) == want and len(want) > 200
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+OPS_TYPE = pa.list_(pa.struct([("kind", pa.int8()), ("key", pa.binary()), ("value", pa.binary())]))
+
+
+def some_batches(r: random.Random, n: int, most: int) -> list[list[dict]]:
+    size = lambda: r.randbytes(r.choice([0, 1, 20, 127, 128, 300]))
+    return [[{"kind": r.choice([0, 1, 1]), "key": size(), "value": r.choice([None, b"", size(), r.randbytes(20_000)])} for _ in range(r.randrange(1, most))] for _ in range(n)]
+
+
+def plain(batches: list[list[dict]], base: list[int]) -> list[bytes]:
+    return [raw.encode_batch(b, [(o["kind"], o["key"], o["value"]) for o in ops]) for b, ops in zip(base, batches, strict=True)]
+
+
+@pytest.mark.parametrize(("n", "most"), [(1, 2), (60, 4), (150, 9), (40, 160)])
+def test_batches_side_by_side(n, most):
+    batches = some_batches(random.Random(n), n, most)
+    base = np.cumsum([len(b) for b in batches])
+    bodies = raw.encode_ops(pa.array([[{"kind": 0, "key": b"cut off", "value": None}], *batches], OPS_TYPE).slice(1))
+    content = raw.frame_batches(base, bodies)
+    payloads = plain(batches, base.tolist())
+    assert content == raw.frames(payloads) and raw.unframe(content) == (payloads, len(content))
+    made = raw.decode_batches(content, raw._records(content))
+    want = [(b + i, k, kind, v) for b, ops in map(raw.decode_batch, payloads) for i, (kind, k, v) in enumerate(ops)]
+    assert (made is None) == (n == 1)  # one batch by itself is left to the plain way
+    assert made is None or [tuple(x.values()) for x in made.to_pylist()] == want
+
+
+def test_damaged_batches_are_left_to_the_plain_way():
+    r = random.Random(9)
+    payloads = plain([[{"kind": r.randrange(2), "key": b"k" * r.choice([3, 130]), "value": b"v"} for _ in range(3)] for _ in range(40)], list(range(40)))
+    for _ in range(600):
+        at = r.randrange(40)
+        bad = bytearray(payloads[at])
+        bad[r.randrange(8, len(bad))] ^= 1 << r.randrange(8)
+        bad = bytes(bad) if r.random() < 0.7 else payloads[at][: r.randrange(len(payloads[at]))]
+        content = raw.frames([*payloads[:at], bad, *payloads[at + 1 :]])
+        made = raw.decode_batches(content, raw._records(content))
+        try:
+            want = raw.decode_batch(bad)[1]
+        except raw.Corrupt:
+            assert made is None
+        else:
+            ops = [(x["kind"], x["key"], x["value"]) for x in made.to_pylist()][at * 3 :] if made else want
+            assert ops[: len(want)] == want and (made is None or made.num_rows == 39 * 3 + len(want))
+
+
+def test_bad_ops_are_not_written():
+    for bad in ({"kind": None, "key": b"a", "value": b""}, {"kind": 1, "key": None, "value": b""}, {"kind": -1, "key": b"a", "value": b""}):
+        with pytest.raises(ValueError):
+            raw.encode_ops(pa.array([[bad]], OPS_TYPE))
+
+
+def test_batches_are_made_once_for_a_log(spark):
+    batches = some_batches(random.Random(4), 200, 5)
+    rows = [(i * 3, None if i == 5 else [] if i == 7 else b) for i, b in enumerate(batches)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(found):
+        for batch in found:
+            seen.add(batch.num_rows)
+            yield batch
+
+    source = spark.createDataFrame(rows, BATCHES).mapInArrow(watched, BATCHES)
+    found = sorted(raw.log_segments(source, 20_000).collect())
+    assert seen.value == 200
+    kept = [b for i, b in enumerate(batches) if i not in (5, 7)]
+    base = [1 + sum(map(len, kept[:i])) for i in range(len(kept))]
+    assert b"".join(bytes(x.content) for x in found) == raw.frames(plain(kept, base))
+    assert [x.segment for x in found] == list(range(1, len(found) + 1)) and len(found) > 5
+    assert [x.newest for x in found] == [False] * (len(found) - 1) + [True]
+    assert [x.first_seq for x in found[1:]] == [x.last_seq + 1 for x in found[:-1]] and sum(x.batches for x in found) == 198
+    again = raw.log_segments(log.number_batches(spark.createDataFrame(rows, BATCHES)).withColumn("base_seq", F.col("base_seq") + 1000), 20_000).collect()
+    assert [x.first_seq for x in sorted(again)] == [x.first_seq + 1000 for x in found]
