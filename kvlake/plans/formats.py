@@ -58,7 +58,8 @@ def torn_log_tail(spark, sf_dir):
 
 @query(f"WITH {_SEGMENTS} SELECT segment, max(base_seq + n_ops - 1)::BIGINT AS last_seq FROM cuts GROUP BY segment HAVING segment >= 3 OR segment = (SELECT max(segment) FROM cuts)")
 def log_prune(spark, sf_dir):
-    return raw.after_prune(cut(_segments(spark, sf_dir)), 3).select("segment", "last_seq")
+    """Files are removed by their numbers: only those are kept of what was written, while the rule is applied."""
+    return raw.after_prune(cut(_segments(spark, sf_dir).select("segment", "last_seq")), 3)
 
 
 @query(f"WITH {_BATCH_BYTES} SELECT batch_id, CASE WHEN bytes > 180 THEN 'too_large' END AS fault FROM sizes")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kvlake.functions.hashing import crc32c_table
 from kvlake.model import BATCHES
 from kvlake.operators import log
+from kvlake.plans import formats
 from kvlake.sources import raw
 
 
@@ -123,3 +124,19 @@ def test_batches_are_made_once_for_a_log(spark):
     assert [x.first_seq for x in found[1:]] == [x.last_seq + 1 for x in found[:-1]] and sum(x.batches for x in found) == 198
     again = raw.log_segments(log.number_batches(spark.createDataFrame(rows, BATCHES)).withColumn("base_seq", F.col("base_seq") + 1000), 20_000).collect()
     assert [x.first_seq for x in sorted(again)] == [x.first_seq + 1000 for x in found]
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Columns of what a query writes to cut lineage."""
+    columns, cut = [], formats.cut
+    monkeypatch.setattr(formats, "cut", lambda df: columns.append(df.columns) or cut(df))
+    return columns
+
+
+def test_pruning_keeps_numbers_only(spark, written):
+    assert formats.log_prune(spark, FOLDER).count() > 0
+    assert written == [["segment", "last_seq"]]
