@@ -50,10 +50,8 @@ def raw_log_round_trip(spark, sf_dir):
 @query(f"WITH {q._ITEMS} SELECT seq, key, kind::TINYINT AS kind, value FROM exploded WHERE batch_id < (SELECT max(batch_id) FROM exploded)")
 def torn_log_tail(spark, sf_dir):
     """The newest segment lacks its last three bytes: its last batch is dropped as a whole."""
-    held = cut(_segments(spark, sf_dir))
-    top = held.agg(F.max("segment").alias("top"))
-    torn = F.when(F.col("segment") == F.col("top"), F.expr("substring(content, 1, octet_length(content) - 3)")).otherwise(F.col("content"))
-    return q._text(raw.ops_of_segments(held.join(F.broadcast(top)).select(torn.alias("content"))), "key", "value")
+    torn = F.when(F.col("newest"), F.expr("substring(content, 1, octet_length(content) - 3)")).otherwise(F.col("content"))
+    return q._text(raw.ops_of_segments(_segments(spark, sf_dir).select(torn.alias("content"))), "key", "value")
 
 
 @query(f"WITH {_SEGMENTS} SELECT segment, max(base_seq + n_ops - 1)::BIGINT AS last_seq FROM cuts GROUP BY segment HAVING segment >= 3 OR segment = (SELECT max(segment) FROM cuts)")

@@ -140,3 +140,8 @@ def written(monkeypatch):
 def test_pruning_keeps_numbers_only(spark, written):
     assert formats.log_prune(spark, FOLDER).count() > 0
     assert written == [["segment", "last_seq"]]
+
+
+def test_torn_tail_writes_no_copy_of_the_log(spark, written):
+    assert formats.torn_log_tail(spark, FOLDER).count() > 0
+    assert written == []
