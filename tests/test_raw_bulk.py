@@ -145,3 +145,16 @@ def test_pruning_keeps_numbers_only(spark, written):
 def test_torn_tail_writes_no_copy_of_the_log(spark, written):
     assert formats.torn_log_tail(spark, FOLDER).count() > 0
     assert written == []
+
+
+def test_rotation_makes_its_batches_once(spark, monkeypatch):
+    seen, made = spark.sparkContext.accumulator(0), formats.views.batches_from_lineitem
+
+    def watched(found):
+        for batch in found:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(formats.views, "batches_from_lineitem", lambda *a: made(*a).mapInArrow(watched, BATCHES))
+    batches = sum(x.batches for x in formats.log_rotation(spark, FOLDER).collect())
+    assert seen.value == batches > 1000
